@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 # FNV-1a 32-bit offset basis and prime.
 FNV_OFFSET = 2166136261
@@ -34,26 +35,49 @@ def fnv_fold(values: pa.Array, states: np.ndarray) -> np.ndarray:
     return out
 
 
-@F.arrow_udf("bigint")
+@F.arrow_udf(LongType())
 def _fold(values: pa.Array, states: pa.Array) -> pa.Array:
     known = np.asarray(values.is_valid().to_numpy(zero_copy_only=False) & states.is_valid().to_numpy(zero_copy_only=False))
     start = states.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     return pa.array(fnv_fold(values, start).astype(np.int64), mask=~known)
 
 
-@F.arrow_udf("array<bigint>")
-def _bottom4(trigrams: pa.Array, states: pa.Array) -> pa.Array:
-    rows = len(trigrams)
-    known = np.asarray(trigrams.is_valid().to_numpy(zero_copy_only=False))
-    sizes = trigrams.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    owner = np.repeat(np.arange(rows), sizes)
+def _sketch_rare(words: list[str], state: int) -> list[int]:
+    """One row with non-ASCII text: windows cut mid-character become U+FFFD before hashing."""
+    raw = [w.encode() for w in words]
+    windows = {w[i : i + 3].decode("utf-8", "replace").encode() for w in raw for i in range(len(w) - 2)}
+    hashed = fnv_fold(pa.array(sorted(windows), pa.binary()), np.full(len(windows), state, dtype=np.int64))
+    return sorted(hashed.tolist())[:4]
+
+
+@F.arrow_udf(ArrayType(LongType()))
+def _bottom4(words: pa.Array, states: pa.Array) -> pa.Array:
+    rows = len(words)
+    known = np.asarray(words.is_valid().to_numpy(zero_copy_only=False))
     start = states.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    hashes = fnv_fold(trigrams.flatten(), start[owner]).astype(np.int64)
-    order = np.lexsort((hashes, owner))
+    flat = words.flatten().cast(pa.large_binary())
+    bounds = np.frombuffer(flat.buffers()[1], dtype=np.int64)[flat.offset : flat.offset + len(flat) + 1] if len(flat) else np.zeros(1, np.int64)
+    data = np.frombuffer(flat.buffers()[2] or b"", dtype=np.uint8) if len(flat) else np.zeros(0, np.uint8)
+    counts = np.maximum(np.diff(bounds) - 2, 0)
+    word_owner = np.repeat(np.arange(rows), words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    at = np.repeat(bounds[:-1], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    owner = np.repeat(word_owner, counts)
+    code = (data[at].astype(np.int64) << 16) | (data[at + 1].astype(np.int64) << 8) | data[at + 2]
+    distinct = np.unique((owner << 24) | code)
+    owner, code = distinct >> 24, distinct & 0xFFFFFF
+    state = start[owner].astype(np.uint32)
+    for shift in (16, 8, 0):
+        state = (state ^ ((code >> shift) & 0xFF).astype(np.uint32)) * np.uint32(FNV_PRIME)
+    hashed = state.astype(np.int64)
+    order = np.lexsort((hashed, owner))
+    sizes = np.bincount(owner, minlength=rows)
     rank = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     keep = rank < 4
     sketch = np.full((rows, 4), 4294967295, dtype=np.int64)
-    sketch[owner[keep], rank[keep]] = hashes[order][keep]
+    sketch[owner[keep], rank[keep]] = hashed[order][keep]
+    for row in np.unique(owner[(code & 0x808080) != 0]):
+        rare = _sketch_rare(words[int(row)].as_py(), int(start[row]))
+        sketch[row] = rare + [4294967295] * (4 - len(rare))
     offsets = pa.array(np.arange(0, 4 * rows + 1, 4, dtype=np.int32), mask=np.append(~known, False))
     return pa.ListArray.from_arrays(offsets, pa.array(sketch.ravel()))
 
@@ -75,9 +99,10 @@ def lookup_state(salt_hex: Column, tag: str | Column) -> Column:
     return fnv1a(F.concat(F.unhex(salt_hex), sep, F.encode(name, "UTF-8"), sep))
 
 
-def bottom4(trigrams: Column, state: Column) -> Column:
-    """The four smallest salted hashes of a distinct trigram list, padded with 2**32 - 1."""
-    return _bottom4(trigrams, state)
+def bottom4(words: Column, state: Column) -> Column:
+    """Sketch of a list of words: the four smallest salted hashes of their distinct 3-byte windows,
+    padded with 2**32 - 1. Words under 3 bytes add nothing; a null list stays null."""
+    return _bottom4(words, state)
 
 
 def hex8(hashed: Column) -> Column:

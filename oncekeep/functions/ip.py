@@ -5,45 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WHITESPACE
+from .text import trim
 
 TAG_V4 = "ip_v4_24"
 TAG_V6 = "ip_v6_48"
 
-
-def trimmed(raw: Column) -> Column:
-    return F.regexp_replace(raw, f"^{WHITESPACE}+|{WHITESPACE}+$", "")
+_OCTET = r"(?=[0-9]{1,3}(?:\.|\z))0*(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+_V4 = rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}\z"
+_GROUPS = r"[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*"
 
 
 def ipv4_prefix(raw: Column) -> Column:
-    ip = trimmed(raw)
-    well_formed = ip.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}\z")
-    octets = F.transform(F.split(F.when(well_formed, ip), r"\."), lambda o: o.cast("int"))
-    in_range = F.forall(octets, lambda o: o <= 255)
-    return F.when(in_range, F.concat_ws(".", F.transform(F.slice(octets, 1, 3), lambda o: o.cast("string"))))
+    """First three octets without leading zeros; null for anything but a dotted quad in range."""
+    text = trim(raw)
+    return F.when(text.rlike(_V4), F.regexp_replace(text, _V4, "$1.$2.$3"))
 
 
 def ipv6_prefix(raw: Column) -> Column:
-    plain = F.substring_index(trimmed(raw), "%", 1)
-    halves = F.split(F.when(F.contains(plain, F.lit(":")), plain), "::")
-    none = F.array().cast("array<string>")
-    groups = lambda text: F.when(text == "", none).otherwise(F.split(text, ":"))
-    left = groups(halves[0])
-    right = F.when(F.size(halves) == 2, groups(F.get(halves, F.lit(1)))).otherwise(none)
-    fill = 8 - F.size(left) - F.size(right)
-    hextets = (
-        F.when((F.size(halves) == 1) & (F.size(left) == 8), left)
-        .when((F.size(halves) == 2) & (fill >= 0), F.concat(left, F.array_repeat(F.lit("0"), fill), right))
-    )
-    valid = F.forall(hextets, lambda h: h.rlike(r"^[0-9a-fA-F]{1,4}\z"))
-    first3 = F.transform(F.slice(hextets, 1, 3), lambda h: F.regexp_replace(F.lower(h), "^0+(?=.)", ""))
-    return F.when(valid, F.concat_ws(":", first3))
-
-
-def ip_prefix(raw: Column) -> Column:
-    """struct<key, tag>; null where the text is no IP literal."""
-    v4, v6 = ipv4_prefix(raw), ipv6_prefix(raw)
-    return F.coalesce(
-        F.when(v4.isNotNull(), F.struct(v4.alias("key"), F.lit(TAG_V4).alias("tag"))),
-        F.when(v6.isNotNull(), F.struct(v6.alias("key"), F.lit(TAG_V6).alias("tag"))),
-    )
+    """First three groups, lower-case, without leading zeros; the double colon is filled with zeros."""
+    text = F.lower(F.substring_index(trim(raw), "%", 1))
+    left, right = F.substring_index(text, "::", 1), F.substring_index(text, "::", -1)
+    size = lambda part: F.when(part == "", 0).otherwise(F.length(part) - F.length(F.translate(part, ":", "")) + 1)
+    fill = 8 - size(left) - size(right)
+    plain = text.rlike(rf"^{_GROUPS}\z") & (size(text) == 8)
+    folded = text.rlike(rf"^(?:{_GROUPS})?::(?:{_GROUPS})?\z") & (fill >= 0)
+    parts = lambda part: F.when(part != "", part)
+    expanded = F.when(plain, text).when(folded, F.concat_ws(":", parts(left), F.when(fill > 0, F.substring(F.lit("0:0:0:0:0:0:0:0"), F.lit(1), 2 * fill - 1)), parts(right)))
+    return F.regexp_replace(F.substring_index(expanded, ":", 3), r"(?<![0-9a-f])0+(?=[0-9a-f])", "")
+
+
+def ip_key(raw: Column) -> Column:
+    """The prefix of an IP literal, or null. IPv6 is tried only on text with a colon."""
+    return F.when(F.contains(raw, F.lit(":")), ipv6_prefix(raw)).otherwise(ipv4_prefix(raw))
+
+
+def ip_tag(key: Column) -> Column:
+    return F.when(F.contains(key, F.lit(":")), TAG_V6).when(key.isNotNull(), TAG_V4)

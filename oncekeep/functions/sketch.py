@@ -16,16 +16,29 @@ def _windows(text: Column) -> Column:
     return F.coalesce(F.transform(at, one), F.array().cast("array<string>"))
 
 
+def email_words(canonical: Column) -> Column:
+    """The local part as a one-word list; null stays null."""
+    return F.when(canonical.isNotNull(), F.array(F.regexp_replace(canonical, r"@[^@]*\z", "")))
+
+
+def address_words(n1: Column, zip_: Column, country: Column) -> Column:
+    """Words of line 1, zip and country with at least 3 characters; null when line 1 is null."""
+    words = F.filter(F.split(F.concat_ws(" ", n1, zip_, country), " "), lambda w: F.length(w) >= 3)
+    return F.when(n1.isNotNull(), words)
+
+
+def _trigrams(words: Column) -> Column:
+    return F.sort_array(F.array_distinct(F.flatten(F.transform(words, _windows))))
+
+
 def email_trigrams(canonical: Column) -> Column:
     """Sorted distinct windows of the local part; null stays null."""
-    local = F.regexp_replace(canonical, r"@[^@]*\z", "")
-    return F.when(canonical.isNotNull(), F.sort_array(F.array_distinct(_windows(local))))
+    return _trigrams(email_words(canonical))
 
 
 def address_trigrams(n1: Column, zip_: Column, country: Column) -> Column:
-    """Sorted distinct windows inside each word of line 1, zip and country (words under 3 characters skipped)."""
-    words = F.filter(F.split(F.concat_ws(" ", n1, zip_, country), " "), lambda w: F.length(w) >= 3)
-    return F.sort_array(F.array_distinct(F.flatten(F.transform(words, _windows))))
+    """Sorted distinct windows inside each word of line 1, zip and country."""
+    return _trigrams(address_words(n1, zip_, country))
 
 
 def jaccard(a: Column, b: Column) -> Column:

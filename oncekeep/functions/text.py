@@ -7,9 +7,13 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-# The white-space class of the source system's language (wider than Java's \s).
-WHITESPACE = r"[\t\n\x0B\f\r    -     　﻿]"
+# The white-space characters of the source system's language (more than Java's \\s).
+WHITESPACE = (
+    "\t\n\x0b\x0c\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
 
 # Domains whose local part ignores dots. They are not merged with each other.
 DOTLESS_DOMAINS = ("gmail.com", "googlemail.com")
@@ -33,15 +37,17 @@ STREET_WORDS = {
 }
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+# Local part up to its first plus sign, then the text after the last at sign.
+_EMAIL_PARTS = r"(?s)^([^+]+)(?:\+.*)?@([^@]+)\z"
 _E164 = r"^\+[1-9][0-9]{6,14}\z"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _compose(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _strip_marks(values: pd.Series) -> pd.Series:
     def one(value: str | None) -> str | None:
         if value is None:
@@ -56,6 +62,10 @@ def _ascii_lower(col: Column) -> Column:
     return F.translate(col, _UPPER, _UPPER.lower())
 
 
+def trim(col: Column) -> Column:
+    return F.btrim(col, F.lit(WHITESPACE))
+
+
 def _only_non_ascii(col: Column, udf) -> Column:
     """Send text through the Arrow UDF only where it is not plain ASCII (others go as nulls)."""
     needs = col.rlike(r"[^\x00-\x7F]")
@@ -74,25 +84,24 @@ def strip_marks(col: Column) -> Column:
 
 def normalize_codes(codes: Column) -> Column:
     """Trimmed, upper-case, non-empty, distinct codes."""
-    cleaned = F.transform(codes, lambda c: F.upper(F.regexp_replace(c, f"^{WHITESPACE}+|{WHITESPACE}+$", "")))
+    cleaned = F.transform(codes, lambda c: F.upper(trim(c)))
     return F.array_distinct(F.filter(cleaned, lambda c: c != ""))
 
 
 def canonical_email(raw: Column, composed: bool = False) -> Column:
     """Canonical address or null. ``composed`` says that ``raw`` is NFKC (or ASCII) already."""
     text = raw if composed else compose(raw)
-    flat = _ascii_lower(F.regexp_replace(text, WHITESPACE, ""))
-    domain = F.substring_index(flat, "@", -1)
-    local = F.substring_index(F.regexp_extract(flat, r"(?s)^(.*)@[^@]*\z", 1), "+", 1)
-    local = F.when(domain.isin(*DOTLESS_DOMAINS), F.regexp_replace(local, r"\.", "")).otherwise(local)
-    valid = F.contains(flat, F.lit("@")) & (local != "") & (domain != "")
-    return F.when(valid, F.concat(local, F.lit("@"), domain))
+    flat = F.translate(text, _UPPER + WHITESPACE, _UPPER.lower())
+    domain = F.regexp_extract(flat, _EMAIL_PARTS, 2)
+    local = F.regexp_extract(flat, _EMAIL_PARTS, 1)
+    local = F.when(domain.isin(*DOTLESS_DOMAINS), F.translate(local, ".", "")).otherwise(local)
+    return F.when(local != "", F.concat(local, F.lit("@"), domain))
 
 
 def canonical_phone(raw: Column, default_prefix: Column | None = None) -> Column:
     """E.164 or null; numbers without a country prefix need ``default_prefix``."""
     prefix = F.lit(None).cast("string") if default_prefix is None else default_prefix
-    stripped = F.regexp_replace(raw, rf"{WHITESPACE}|[-().]", "")
+    stripped = F.translate(raw, WHITESPACE + "-().", "")
     digits = F.regexp_replace(stripped, "[^0-9]", "")
     candidate = (
         F.when(stripped == "", None)
