@@ -117,3 +117,116 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
             (F.col("o_orderdate") + F.make_interval(secs=k % 86400)).alias("created_at"),
         )
     )
+
+
+# -- tables around the orders ----------------------------------------------------------------
+
+
+def flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every twentieth order as a flag, for the reports."""
+    k = F.col("record_id")
+    score = (4 + k % 14).cast("int")
+    name = F.when(k % 3 == 0, F.array(F.lit("phone"))).when(k % 3 == 1, F.array(F.lit("email_canonical"), F.lit("ip_v4_24")))
+    return orders(spark, sf_dir).filter(k % 20 == 0).select(
+        "shop_id",
+        F.concat("shop_id", F.lit(":"), F.substring(F.col("codes")[1], 8, 1)).alias("offer_id"),
+        "order_gid",
+        "order_name",
+        "customer_gid",
+        F.when(score >= 10, "HIGH").otherwise("MEDIUM").alias("risk_level"),
+        score.alias("score"),
+        name.otherwise(F.array(F.lit("address_full"))).alias("facts"),
+        F.when(k % 60 == 0, "dismissed").otherwise("pending").alias("merchant_action"),
+        F.lit(None).cast("timestamp").alias("merchant_action_at"),
+        "created_at",
+    )
+
+
+def redemptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders as plain ledger rows: ids and times only."""
+    offer = F.concat("shop_id", F.lit(":"), F.substring(F.col("codes")[1], 8, 1))
+    return orders(spark, sf_dir).select("record_id", "shop_id", offer.alias("offer_id"), "order_gid", "customer_gid", "created_at")
+
+
+def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as webhook deliveries; every tenth is delivered twice."""
+    e = table(spark, sf_dir, "events")
+    repeated = e.filter(F.col("event_id") % 10 == 0).withColumn("ts", F.col("ts") + F.make_interval(mins=F.lit(5)))
+    return e.unionByName(repeated).select(
+        F.concat(F.lit("wh/"), F.col("event_id").cast("string")).alias("webhook_gid"),
+        F.concat(F.lit("shop_"), (F.col("user_id") % 5).cast("string")).alias("shop_id"),
+        F.col("event_type").alias("topic"),
+        F.col("props").alias("payload"),
+        F.col("ts").alias("received_at"),
+        F.when(F.col("event_id") % 9 != 0, F.col("ts") + F.make_interval(secs=F.col("event_id") % 97)).alias("processed_at"),
+        F.when(F.col("event_id") % 9 == 0, "failed").otherwise("done").alias("status"),
+    )
+
+
+def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as queued jobs."""
+    k = F.col("event_id")
+    status = F.when(k % 6 == 0, "pending").when(k % 6 == 1, "running").when(k % 6 < 4, "failed").otherwise("complete")
+    return table(spark, sf_dir, "events").select(
+        k.alias("job_id"),
+        F.concat(F.lit("shop_"), (F.col("user_id") % 5).cast("string")).alias("shop_id"),
+        F.col("event_type").alias("type"),
+        status.alias("status"),
+        (k % 7).cast("int").alias("attempts"),
+        F.repeat(F.col("props"), 40).alias("payload"),
+        F.col("ts").alias("created_at"),
+        F.when(k % 6 >= 4, F.col("ts") + F.make_interval(secs=k % 50)).alias("completed_at"),
+    )
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh customer asks for something."""
+    c = F.col("c_custkey")
+    topic = F.when(c % 3 == 0, "customers/redact").when(c % 3 == 1, "customers/data_request").otherwise("shop/redact")
+    received = F.to_timestamp(F.lit(NOW)) - F.make_interval(days=(c % 20).cast("int"), secs=c % 1000)
+    return table(spark, sf_dir, "customer").filter(c % 7 == 0).select(
+        F.concat(F.lit("req/"), c.cast("string")).alias("request_id"),
+        _shop(F.col("c_nationkey")).alias("shop_id"),
+        topic.alias("topic"),
+        F.concat(F.lit("customer/"), c.cast("string")).alias("customer_gid"),
+        received.alias("received_at"),
+        F.when(c % 4 == 0, received + F.make_interval(days=(c % 11).cast("int"))).alias("completed_at"),
+        F.when(c % 4 == 0, "completed").otherwise("pending").alias("status"),
+    )
+
+
+def merchants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as shops: a shop dimension that grows with the data."""
+    s = F.col("s_suppkey")
+    installed = F.to_timestamp(F.lit("2001-01-01")) + F.make_interval(days=((s * 37) % 200).cast("int"))
+    return table(spark, sf_dir, "supplier").select(
+        s.alias("shop_id"),
+        F.concat(F.lit("Shop-"), s.cast("string"), F.lit(".example.com")).alias("shop_domain"),
+        installed.alias("installed_at"),
+        F.when(s % 4 == 0, installed + F.make_interval(days=((s * 13) % 60).cast("int"))).alias("uninstalled_at"),
+    )
+
+
+def merchant_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as redemptions of a merchant."""
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("shop_id"), F.col("l_returnflag").alias("flag"), F.col("l_linenumber").alias("line"), F.col("l_shipdate").alias("created_at")
+    )
+
+
+def discounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as discounts with a title, one or two codes and a status."""
+    p = F.col("p_partkey")
+    word = F.when(p % 5 == 0, "Welcome").when(p % 5 == 1, "first").when(p % 5 == 2, "new").when(p % 5 == 3, "Intro").otherwise("plain")
+    codes = F.when(p % 13 == 0, F.array().cast("array<string>")).otherwise(
+        F.array(F.concat(F.lit("welcome"), (p % 40).cast("string")), F.concat(F.lit("code"), p.cast("string")))
+    )
+    return table(spark, sf_dir, "part").select(
+        p.alias("discount_id"),
+        F.concat(F.lit("shop_"), (p % 5).cast("string")).alias("shop_id"),
+        F.concat_ws(" ", word, "p_name").alias("title"),
+        codes.alias("codes"),
+        (p % 2 == 0).alias("once_per_customer"),
+        F.when(p % 7 == 0, "EXPIRED").when(p % 7 == 1, "SCHEDULED").otherwise("ACTIVE").alias("status"),
+        (F.to_timestamp(F.lit("2001-01-01")) + F.make_interval(days=(p % 100).cast("int"))).alias("created_at"),
+    )
