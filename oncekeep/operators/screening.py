@@ -19,7 +19,8 @@ def screen(buyers: DataFrame, offer_buckets: DataFrame) -> DataFrame:
     address_full_hash, address_house_hash as 8 hex digits. A bucket is bounded by the snapshot
     cap. Only offers hit by some signal are joined by hash; the others score the tag alone.
     """
-    members = F.flatten(F.array(*[F.transform(c, lambda h, k=k: F.struct(F.lit(k).alias("kind"), h.alias("hash"))) for k, c in _KINDS.items()]))
+    tagged = lambda kind, hashes: F.transform(hashes, lambda h: F.struct(F.lit(kind).alias("kind"), h.alias("hash")))
+    members = F.flatten(F.array(*[tagged(k, c) for k, c in _KINDS.items()]))
     known = offer_buckets.select("shop_id", "offer_id", F.inline(members))
     # One row per known hash with the offers that hold it: at most the shop's offers.
     holders = small(known.groupBy("shop_id", "kind", "hash").agg(F.collect_set("offer_id").alias("offers")), "holders")

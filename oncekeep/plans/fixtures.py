@@ -14,6 +14,8 @@ _FACTS = ("orders", "lineitem", "events")
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table; one that comes in fewer splits than there are cores is spread over them."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    zoneless = [f.name for f in df.schema.fields if f.dataType.typeName() == "timestamp_ntz"]
+    df = df.withColumns({c: F.col(c).cast("timestamp") for c in zoneless})
     cores = spark.sparkContext.defaultParallelism
     if name in _FACTS and df.rdd.getNumPartitions() < cores:
         df = df.repartition(cores)
@@ -145,7 +147,7 @@ def flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 def redemptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The orders as plain ledger rows: ids and times only."""
     offer = F.concat("shop_id", F.lit(":"), F.substring(F.col("codes")[1], 8, 1))
-    return orders(spark, sf_dir).select("record_id", "shop_id", offer.alias("offer_id"), "order_gid", "customer_gid", "created_at")
+    return orders(spark, sf_dir).select("record_id", "shop_id", offer.alias("offer_id"), "order_gid", "order_name", "customer_gid", "created_at")
 
 
 def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
