@@ -78,8 +78,8 @@ def _bottom4(words: pa.Array, states: pa.Array) -> pa.Array:
     for row in np.unique(owner[(code & 0x808080) != 0]):
         rare = _sketch_rare(words[int(row)].as_py(), int(start[row]))
         sketch[row] = rare + [4294967295] * (4 - len(rare))
-    offsets = pa.array(np.arange(0, 4 * rows + 1, 4, dtype=np.int32), mask=np.append(~known, False))
-    return pa.ListArray.from_arrays(offsets, pa.array(sketch.ravel()))
+    offsets = pa.array(np.arange(0, 4 * rows + 1, 4, dtype=np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array(sketch.ravel()), mask=pa.array(~known))
 
 
 def fnv1a(value: Column, state: Column | None = None) -> Column:

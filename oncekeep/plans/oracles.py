@@ -297,8 +297,8 @@ FROM reqs r LEFT JOIN items i ON r.shop_id = i.shop_id AND r.customer_gid = i.cu
     "settle_dead_letters": f"""{_with(JOBS)} SELECT job_id, CASE WHEN status = 'failed' AND job_id % 4 <> 0 THEN CASE WHEN job_id % 2 = 0 THEN 'pending' ELSE 'archived' END ELSE status END AS status,
   CASE WHEN status = 'failed' AND job_id % 4 <> 0 AND job_id % 2 = 0 THEN 0 ELSE attempts END::BIGINT AS attempts,
   CASE WHEN status = 'failed' AND job_id % 4 <> 0 AND job_id % 2 = 1 THEN epoch_us(TIMESTAMP '{EVENTS_NOW}') ELSE epoch_us(completed_at) END AS completed_at FROM jobs""",
-    "uninstall_shops": f"""{_with(MERCHANTS)}, last AS (SELECT user_id, arg_max(event_type, ts) AS t, max(ts) AS at FROM events WHERE event_type IN ('error', 'signup') GROUP BY 1)
-SELECT shop_id, epoch_us(CASE WHEN t IS NULL THEN uninstalled_at WHEN t = 'error' THEN at END) AS uninstalled_at FROM merchants LEFT JOIN last ON user_id = shop_id""",
+    "uninstall_shops": f"""{_with(MERCHANTS)}, last AS (SELECT user_id, arg_max(event_type, ts) AS t, max(ts) AS seen FROM events WHERE event_type IN ('error', 'signup') GROUP BY 1)
+SELECT shop_id, epoch_us(CASE WHEN t IS NULL THEN uninstalled_at WHEN t = 'error' THEN seen END) AS uninstalled_at FROM merchants LEFT JOIN last ON user_id = shop_id""",
     "cancel_pending": f"{_with(JOBS)} SELECT shop_id, CASE WHEN status = 'pending' AND shop_id = 'shop_4' THEN 'cancelled' ELSE status END AS status, count(*) AS n FROM jobs GROUP BY ALL",
     "change_offers": f"""{_REPORT}, last AS (SELECT offer_id, k FROM (SELECT *, row_number() OVER (PARTITION BY offer_id ORDER BY created_at DESC, k DESC) AS r FROM src) WHERE r = 1)
 SELECT offer_id, CASE WHEN k % 2 = 0 THEN 'inactive' ELSE status END AS status, CASE WHEN k % 3 = 0 THEN 'watch' ELSE mode END AS mode, archived_at IS NOT NULL AS archived FROM offers LEFT JOIN last USING (offer_id)""",
@@ -359,8 +359,8 @@ SELECT discount_id, title, once_per_customer, name_score::BIGINT AS name_score F
 SELECT day::VARCHAR AS day, (SELECT count(*) FROM src WHERE created_at::DATE = day) AS redemptions, (SELECT count(*) FROM flags WHERE created_at::DATE = day) AS flagged FROM cal""",
     "installs_per_day": f"""{_with(MERCHANTS)}, e AS (SELECT installed_at::DATE AS day, 1 AS i, 0 AS u FROM merchants UNION ALL SELECT uninstalled_at::DATE, 0, 1 FROM merchants WHERE uninstalled_at IS NOT NULL)
 SELECT day::VARCHAR AS day, sum(i)::BIGINT AS installs, sum(u)::BIGINT AS uninstalls FROM e GROUP BY 1""",
-    "retention_cohorts": f"""{_with(MERCHANTS)}, e AS (SELECT date_trunc('week', installed_at)::DATE AS cohort, w AS week, uninstalled_at, date_trunc('week', installed_at)::TIMESTAMP + to_days((w * 7)::INTEGER) AS at FROM merchants, range(0, 9) t(w))
-SELECT cohort::VARCHAR AS cohort, week, count(*) AS shops, count(*) FILTER (uninstalled_at IS NULL OR uninstalled_at >= at) AS active FROM e WHERE at <= TIMESTAMP '2001-06-01' GROUP BY 1, 2""",
+    "retention_cohorts": f"""{_with(MERCHANTS)}, e AS (SELECT date_trunc('week', installed_at)::DATE AS cohort, w AS week, uninstalled_at, date_trunc('week', installed_at)::TIMESTAMP + to_days((w * 7)::INTEGER) AS week_start FROM merchants, range(0, 9) t(w))
+SELECT cohort::VARCHAR AS cohort, week, count(*) AS shops, count(*) FILTER (uninstalled_at IS NULL OR uninstalled_at >= week_start) AS active FROM e WHERE week_start <= TIMESTAMP '2001-06-01' GROUP BY 1, 2""",
     "hourly_redemptions": f"{BASE} SELECT epoch(date_trunc('hour', created_at))::BIGINT AS hour, count(*) AS redemptions FROM src GROUP BY 1",
     "flag_rate_histogram": "SELECT least(f * 10 // r, 9)::BIGINT AS bin, count(*) AS shops FROM (SELECT l_suppkey, count(*) AS r, count(*) FILTER (l_returnflag = 'R') AS f FROM lineitem GROUP BY 1) GROUP BY 1",
     "latency_percentiles": f"""{_with(DELIVERIES)}, t AS (SELECT topic, epoch_ms(processed_at) - epoch_ms(received_at) AS ms FROM deliveries WHERE processed_at IS NOT NULL)

@@ -120,12 +120,13 @@ def test_sketches(spark):
     cases = [
         (["khoinguyen"], [466682748, 733189310, 846147091, 1741988834]),
         (["mai", "ain", " st", "t  "], [222153778, 810471649, 3647606906, 4159444007]),
+        (None, None),
         (["abc"], [2927993670, PAD, PAD, PAD]),
         (["abc", "abc", "ab"], [2927993670, PAD, PAD, PAD]),
         ([], [PAD] * 4),
         (None, None),
     ]
-    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, words array<string>, want array<long>")
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, words array<string>, want array<long>").coalesce(1)
     got = df.withColumn("got", hashing.bottom4(F.col("words"), hashing.salt_state(F.lit(SALT_HEX)))).orderBy("i").collect()
     assert [r.got for r in got] == [r.want for r in got]
 
