@@ -7,7 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 # The white-space characters of the source system's language (more than Java's \\s).
 WHITESPACE = (
@@ -42,6 +42,11 @@ _EMAIL_PARTS = r"(?s)^([^+]+)(?:\+.*)?@([^@]+)\z"
 _E164 = r"^\+[1-9][0-9]{6,14}\z"
 
 
+def _without_marks(value: str) -> str:
+    parts = unicodedata.normalize("NFKD", value).replace("đ", "d").replace("Đ", "d")
+    return "".join(ch for ch in parts if unicodedata.category(ch) != "Mn")
+
+
 @F.pandas_udf(StringType())
 def _compose(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
@@ -49,13 +54,18 @@ def _compose(values: pd.Series) -> pd.Series:
 
 @F.pandas_udf(StringType())
 def _strip_marks(values: pd.Series) -> pd.Series:
-    def one(value: str | None) -> str | None:
-        if value is None:
+    return values.map(lambda v: None if v is None else _without_marks(v))
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _normalize_row(rows: pd.Series) -> pd.Series:
+    def one(row):
+        if row is None:
             return None
-        parts = unicodedata.normalize("NFKD", value).replace("đ", "d").replace("Đ", "d")
-        return "".join(ch for ch in parts if unicodedata.category(ch) != "Mn")
+        head, *rest = row
+        return [None if head is None else unicodedata.normalize("NFKC", head), *[None if v is None else _without_marks(v) for v in rest]]
 
-    return values.map(one)
+    return rows.map(one)
 
 
 def _ascii_lower(col: Column) -> Column:
@@ -82,6 +92,15 @@ def strip_marks(col: Column) -> Column:
     return _only_non_ascii(col, _strip_marks)
 
 
+def normalize_row(email: Column, *address_parts: Column) -> Column:
+    """One Arrow call for all texts of a row: NFKC of the email, then the parts without marks.
+
+    Null for the common row that is plain ASCII throughout.
+    """
+    texts = F.array(email, *address_parts)
+    return _normalize_row(F.when(F.concat_ws("", texts).rlike(r"[^\x00-\x7F]"), texts))
+
+
 def normalize_codes(codes: Column) -> Column:
     """Trimmed, upper-case, non-empty, distinct codes."""
     cleaned = F.transform(codes, lambda c: F.upper(trim(c)))

@@ -30,10 +30,17 @@ def shop_keys(shops: DataFrame) -> DataFrame:
     return shops.select("shop_id", F.col("default_prefix").alias("_prefix"), *states, hashing.salt_state(salt).alias("_salt_state"))
 
 
+_PARTS = [(address, part) for address in ("address", "billing") for part in ("address1", "address2", "zip")]
+
+
 def _lines(address: str, short: str) -> list[Column]:
     """Normalised line 1, line 2, zip and the upper-case country of an address struct, as flat columns."""
     has = F.col(address).isNotNull()
-    part = lambda name: F.when(has, text.normalize_line(F.col(f"{address}.{name}")))
+
+    def part(name: str) -> Column:
+        folded = F.get(F.col("_folded"), F.lit(1 + _PARTS.index((address, name))))
+        return F.when(has, text.normalize_line(F.coalesce(folded, F.col(f"{address}.{name}")), stripped=True))
+
     return [
         part("address1").alias(f"_{short}_n1"),
         part("address2").alias(f"_{short}_n2"),
@@ -61,10 +68,11 @@ def derive(orders: DataFrame, shops: DataFrame) -> DataFrame:
     keep = orders.columns
     keyed = orders.join(shop_keys(shops), "shop_id")
     states = [c for c in keyed.columns if c.endswith("_state")]
-    canonical = keyed.select(
+    folded = text.normalize_row(F.col("email"), *[F.col(f"{a}.{p}") for a, p in _PARTS])
+    canonical = keyed.withColumn("_folded", folded).select(
         *keep,
         *states,
-        text.canonical_email(F.col("email")).alias("canonical_email"),
+        text.canonical_email(F.coalesce(F.get("_folded", F.lit(0)), F.col("email")), composed=True).alias("canonical_email"),
         text.canonical_phone(F.col("phone"), F.col("_prefix")).alias("canonical_phone"),
         *_lines("address", "ship"),
         *_lines("billing", "bill"),

@@ -17,11 +17,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     zoneless = [f.name for f in df.schema.fields if f.dataType.typeName() == "timestamp_ntz"]
     df = df.withColumns({c: F.col(c).cast("timestamp") for c in zoneless})
     cores = spark.sparkContext.defaultParallelism
-    if name in _FACTS and df.rdd.getNumPartitions() < cores:
+    if name in _FACTS and _splits(df, f"{sf_dir}/{name}") < cores:
         df = df.repartition(cores)
     return df
 
 
+_KNOWN_SPLITS: dict[str, int] = {}
+
+
+def _splits(df: DataFrame, key: str) -> int:
+    if key not in _KNOWN_SPLITS:
+        _KNOWN_SPLITS[key] = df.rdd.getNumPartitions()
+    return _KNOWN_SPLITS[key]
+
+
 def _shop(nation_key) -> object:
     return F.concat(F.lit("shop_"), (nation_key % 5).cast("string"))
 

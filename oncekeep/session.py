@@ -17,6 +17,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "128MB",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Lets the newest-N filter of the snapshot run before its shuffle for any byte cap in use.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "20000",
 }
 
 
