@@ -58,11 +58,10 @@ def shops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One offer per shop and order priority; priority 5 archived, priority 4 in watch mode."""
+    priorities = F.array(*[F.lit(str(p)) for p in range(1, 6)])
     return (
-        table(spark, sf_dir, "orders")
-        .select(F.substring("o_orderpriority", 1, 1).alias("p"))
-        .distinct()
-        .join(shops(spark, sf_dir).select("shop_id"))
+        shops(spark, sf_dir)
+        .select("shop_id", F.explode(priorities).alias("p"))
         .select(
             F.concat("shop_id", F.lit(":"), "p").alias("offer_id"),
             "shop_id",
