@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,11 +38,10 @@ def build_session(app: str = "oncekeep", master: str | None = None, **conf: obje
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a local one only where none is configured."""
+    """The shared folder that ``spark.checkpoint.dir`` names; there is no fallback, as a local folder would lose rows."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="oncekeep-")
-        spark.conf.set("spark.checkpoint.dir", configured)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return configured
 
 
