@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality, sharding, url_filter
+from . import packing, quality, rp_forest, sharding, simhash, url_filter
 from .common import table
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -15,19 +17,35 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rp_forest.link_embeddings(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = sharding.Added(shard=40, weight=1.0, region=1, rack=3)
     return sharding.shard_documents(table(spark, sf_dir, "documents"), sharding.even_tree(2, 4, 5), new)
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
     judged = url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.simhash_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op5_sharding": op5_sharding,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op8_url_filters": op8_url_filters,
+    "op9_simhash_dedup": op9_simhash_dedup,
 }
