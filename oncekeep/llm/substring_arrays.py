@@ -15,105 +15,138 @@ from .winnow import CHUNK, Windows, byte_values, covered_runs, covered_units
 WINDOW = 100
 GRAM = 24
 # Bytes whose suffixes one array sorts.
-SHARD_BYTES = 60_000
+SHARD_BYTES = 1_000_000
 
 
-def suffix_array(text: list[int], alphabet: int) -> list[int]:
-    """Suffix array of ``text`` (numbers from 1 to ``alphabet`` - 1) by induced sorting, in linear time.
+def suffix_array(text: np.ndarray) -> np.ndarray:
+    """Suffix array of bytes or other small numbers by induced sorting.
 
-    The text is closed by a 0 of its own, whose suffix is left out of the result.
+    Suffixes are classified, the leftmost-smaller substrings sorted by one induction and named,
+    their order settled on the names, and a second induction places all suffixes. An induction
+    goes through the buckets of the first symbols; what one bucket passes on is moved as a whole.
     """
-    return _induced([*text, 0], alphabet)[1:]
-
-
-def _induced(s: list[int], alphabet: int) -> list[int]:
+    s = np.append(text.astype(np.int64) + 1, 0)  # closed by a least symbol of its own
     n = len(s)
-    if n == 1:
-        return [0]
-    a = np.array(s)
-    # Smaller (True) or larger than the suffix behind it; equal first values take the type behind.
-    step = np.sign(a[1:] - a[:-1])
-    source = np.where(step != 0, np.arange(n - 1), n)
-    source = np.minimum.accumulate(source[::-1])[::-1]
-    smaller = np.append(np.where(source < n, step[np.minimum(source, n - 2)] > 0, False), True)
+    step = np.sign(np.diff(s))
+    # A suffix is smaller than the one behind it if the next change of symbol goes up.
+    change = np.where(step != 0, np.arange(n - 1), n - 2)
+    change = np.minimum.accumulate(change[::-1])[::-1] if n > 1 else change
+    smaller = np.append(step[change] > 0, True) if n > 1 else np.array([True])
     leftmost = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
-    sizes = np.bincount(a, minlength=alphabet)
-    ends = np.cumsum(sizes)
-    small = smaller.tolist()
-
-    def induce(order: list[int]) -> list[int]:
-        sa, tail = [-1] * n, ends.tolist()
-        for i in reversed(order):
-            c = s[i]
-            tail[c] -= 1
-            sa[tail[c]] = i
-        head = (ends - sizes).tolist()
-        for i in range(n):
-            j = sa[i] - 1
-            if j >= 0 and not small[j]:
-                c = s[j]
-                sa[head[c]] = j
-                head[c] += 1
-        tail = ends.tolist()
-        for i in range(n - 1, -1, -1):
-            j = sa[i] - 1
-            if j >= 0 and small[j]:
-                c = s[j]
-                tail[c] -= 1
-                sa[tail[c]] = j
-        return sa
-
-    order = leftmost.tolist()
-    if len(order) > 1:
-        found = np.array(induce(order))
-        found = found[np.isin(found, leftmost)].tolist()
-        # Equal leftmost-smaller substrings get one name.
-        following = dict(zip(order, [*order[1:], n - 1], strict=True))
-        name, names, previous = -1, {}, None
-        for i in found:
-            piece = (s[i : following[i] + 1], small[i : following[i] + 1]) if i != n - 1 else None
-            if piece is None or piece != previous:
-                name += 1
-            names[i], previous = name, piece
-        if name + 1 < len(order):
-            reduced = [names[i] for i in order]
-            ranks = _induced(reduced, name + 1)
-            order = [order[r] for r in ranks]
-        else:
-            order = found
-    return induce(order)
-
-
-def permuted_prefixes(text: list[int], sa: list[int], most: int) -> list[int]:
+    order = leftmost
+    if len(leftmost) > 1:
+        found = _induce(s, smaller, leftmost)
+        flag = np.zeros(n, dtype=bool)
+        flag[leftmost] = True
+        found = found[flag[found]]
+        length = np.zeros(n, dtype=np.int64)
+        length[leftmost] = np.diff(np.append(leftmost, n - 1)) + 1
+        names = np.zeros(n, dtype=np.int64)
+        names[found] = np.cumsum(np.append(False, ~_equal(s, found[:-1], found[1:], length)))
+        order = leftmost[_ranked(names[leftmost])]
+    return _induce(s, smaller, order)[1:]
+
+
+def _equal(s: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Are the substrings at ``a`` and ``b`` of their ``length`` the same?"""
+    same = length[a] == length[b]
+    left, at = np.flatnonzero(same), 0
+    while len(left):
+        same[left] = s[a[left] + at] == s[b[left] + at]
+        at += 1
+        left = left[same[left] & (length[a[left]] > at)]
+    return same
+
+
+def _ranked(names: np.ndarray) -> np.ndarray:
+    """Order of the suffixes of a sequence of names: pairs of names get names, until all differ."""
+    rank, width = names, 1
+    while True:
+        count = int(rank.max()) + 1
+        if count == len(rank):
+            return np.argsort(rank)
+        behind = np.append(rank[width:] + 1, np.zeros(min(width, len(rank)), dtype=np.int64))[: len(rank)]
+        rank = np.unique(rank * (count + 1) + behind, return_inverse=True)[1].reshape(-1)
+        width *= 2
+
+
+def _induce(s: np.ndarray, smaller: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """All suffixes in the order that the leftmost-smaller ones in ``order`` induce."""
+    alphabet = int(s.max()) + 1
+    seeds = _by_symbol(s, order)
+    larger: list[list[np.ndarray]] = [[] for _ in range(alphabet)]
+    lower: list[list[np.ndarray]] = [[] for _ in range(alphabet)]
+
+    def pass_on(rows: list[np.ndarray], kind: bool, into: list[list[np.ndarray]], own: int) -> list[np.ndarray]:
+        """Pass the suffixes in front of a bucket's rows to their buckets; the bucket grows by those of its own symbol."""
+        level, all_ = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64), []
+        while len(level):
+            all_.append(level)
+            front = level[level > 0] - 1
+            front = front[smaller[front] == kind]
+            at_home = s[front] == own
+            for symbol, part in _by_symbol(s, front[~at_home]).items():
+                into[symbol].append(part)
+            level = front[at_home]
+        return all_
+
+    for symbol in range(alphabet):
+        larger[symbol] = pass_on(larger[symbol], False, larger, symbol)
+        if symbol in seeds:
+            pass_on([seeds[symbol]], False, larger, symbol)
+    lower[0].append(np.array([len(s) - 1]))
+    out: list[np.ndarray] = []
+    for symbol in range(alphabet - 1, 0, -1):
+        out += pass_on(lower[symbol], True, lower, symbol)
+        backwards = [part[::-1] for part in reversed(larger[symbol])]
+        pass_on(backwards, True, lower, symbol)
+        out += backwards
+    return np.concatenate(out + lower[0])[::-1]
+
+
+def _by_symbol(s: np.ndarray, rows: np.ndarray) -> dict[int, np.ndarray]:
+    if not len(rows):
+        return {}
+    symbols = s[rows]
+    order = np.argsort(symbols, kind="stable")
+    edges = np.flatnonzero(np.diff(symbols[order])) + 1
+    parts = np.split(rows[order], edges)
+    return dict(zip(symbols[order][np.append(0, edges)].tolist(), parts, strict=True))
+
+
+def permuted_prefixes(text: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     """Length of the prefix that each suffix (in text order) shares with the one before it in the array, up to ``most``."""
     n = len(text)
-    before = [-1] * n
-    for i in range(1, n):
-        before[sa[i]] = sa[i - 1]
-    out, length = [0] * n, 0
-    for i in range(n):
-        j = before[i]
-        if j < 0:
-            length = 0
-            continue
-        while length < most and i + length < n and j + length < n and text[i + length] == text[j + length]:
-            length += 1
-        out[i] = length
-        length = max(length - 1, 0)
-    return out
+    before = np.full(n, -1)
+    before[sa[1:]] = sa[:-1]
+    padded = np.append(text.astype(np.int64), -1 - np.arange(2))
+    out = np.zeros(n, dtype=np.int64)
+    # Eight symbols at a time while they agree, then one at a time.
+    words = np.zeros(n, dtype=np.uint64)
+    for k in range(8):
+        words = words * np.uint64(256) + np.append(text[k:], np.zeros(min(k, n), text.dtype)).astype(np.uint64)
+    left = np.flatnonzero(before >= 0)
+    while len(left):
+        a, b = left + out[left], before[left] + out[left]
+        left = left[(np.maximum(a, b) + 8 <= n) & (words[np.minimum(a, n - 1)] == words[np.minimum(b, n - 1)]) & (out[left] < most)]
+        out[left] += 8
+    left = np.flatnonzero(before >= 0)
+    while len(left):
+        a, b = np.minimum(left + out[left], n), np.minimum(before[left] + out[left], n + 1)
+        same = (padded[a] == padded[b]) & (out[left] < most) & (a < n) & (b < n)
+        left = left[same]
+        out[left] += 1
+    return np.minimum(out, most)
 
 
 def repeated_windows(contents: list[bytes], groups: np.ndarray, counts: np.ndarray, window: int = WINDOW) -> list[np.ndarray]:
     """For each content, in (document, place) order inside its group, a flag per window: does it start earlier too?"""
-    text: list[int] = []
-    starts = []
-    for i, content in enumerate(contents):
-        starts.append(len(text))
-        text += [b + 1 for b in content]
-        text.append(257 + i)  # an end of its own after each passage
-    sa = suffix_array(text, 257 + len(contents))
-    shared = np.array(permuted_prefixes(text, sa, window))[sa]
-    suffix, starts = np.array(sa), np.array(starts)
+    # A passage ends with a symbol that no byte has; windows never reach it.
+    symbols = [np.append(np.frombuffer(c, dtype=np.uint8).astype(np.uint16) + 1, np.uint16(0)) for c in contents]
+    text = np.concatenate(symbols)
+    starts = np.cumsum([0, *map(len, symbols[:-1])])
+    suffix = suffix_array(text)
+    shared = permuted_prefixes(text, suffix, window)[suffix]
     of = np.searchsorted(starts, suffix, "right") - 1
     place = suffix - starts[of]
     good = place < counts[of]
