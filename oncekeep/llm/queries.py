@@ -6,17 +6,27 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, rp_forest, sharding, simhash, substring_arrays, substring_automata, url_filter
+from . import language, packing, quality, rp_forest, sentence_pieces, sharding, simhash, substring_arrays, substring_automata, url_filter
 from .common import SPACE, table
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = language.fit_text_model(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return language.identify_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"), model)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge_quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentence_pieces.encode_and_decode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rp_forest.link_embeddings(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
@@ -53,7 +63,9 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_quality_rules": op2_quality_rules,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_sharding": op5_sharding,
     "op6_substring_dedup": op6_substring_dedup,
