@@ -141,7 +141,8 @@ def identify(rows: DataFrame, model: TextModel, keys: list[str]) -> DataFrame:
             F.coalesce(F.log((F.col(f"{p}{c}") + WEIGHT * F.col(f"{p}n") / n) / (mass[i] + WEIGHT)), F.lit(0.0)) for p in ("l_", "s_")
         ]
         scores.append(F.log(F.greatest(prior, F.lit(1e-12))) + F.col("loglik")[i] + likely[0] + likely[1])
-    out = out.withColumns({f"p{i}": p for i, p in enumerate(_softmax(scores))})
+    out = out.withColumns({f"z{i}": z for i, z in enumerate(scores)})
+    out = out.withColumns({f"p{i}": p for i, p in enumerate(_softmax([F.col(f"z{i}") for i in range(len(q))]))})
 
     def best(prefix: str) -> Column:
         # The larger share wins, of equal ones the language that comes first.

@@ -125,3 +125,13 @@ def judge_quality(docs: DataFrame, rules: list[Rule] | None = None, sample_rows:
     base = F.expr(" OR ".join(f"({r.rejects})" for r in BASE_RULES))
     judged = measured.withColumns({"base_failed": base, "rejected_by": first_rejection(ordered)})
     return judged.withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull()).drop("_text")
+
+
+def kept_documents(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = 2000) -> DataFrame:
+    """The documents that ``judge_quality`` keeps, with its measures.
+
+    The row number in the filter holds it above the measures. Pushed below them, it would take
+    their expressions along and evaluate them again for every element of the word lists.
+    """
+    judged = judge_quality(docs, rules, sample_rows).withColumn("_seen", F.monotonically_increasing_id())
+    return judged.filter("kept AND _seen >= 0").drop("_seen")
