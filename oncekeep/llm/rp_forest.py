@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.skew import small
 from .common import written
 from .components import connected
 
@@ -23,13 +24,17 @@ SAMPLE = 4096
 LEVELS = 6
 # Half the width of the spill zone in standard deviations of the projected distance at the threshold.
 SPILL = 0.5
-# A split whose larger side keeps more than this share of a node is not useful.
-USEFUL = 0.9
+# A split is useful if neither side keeps more than this share of a node, and both sides together not more than that.
+USEFUL_SIDE, USEFUL_SUM = 0.9, 1.4
+# Directions tried for a node before it is left whole.
+TURNS = 4
+# Vectors of one leaf that a task compares; larger leaves are cut into blocks and each pair of blocks is a share.
+BLOCK = 10_000
 
 
-def _direction(tree: int, path: str, size: int) -> np.ndarray:
-    """The random unit direction of a tree node; it depends on the node's name only."""
-    seed = [tree, size, *path.encode()]
+def _direction(tree: int, path: str, turn: int, size: int) -> np.ndarray:
+    """A random unit direction of a tree node; it depends on the node's name and the turn only."""
+    seed = [tree, size, turn, *path.encode()]
     x = np.random.default_rng(seed).standard_normal(size)
     return x / np.linalg.norm(x)
 
@@ -42,8 +47,20 @@ def _units(column: pd.Series, size: int) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype="<f8").reshape(-1, size)
 
 
-def _fit(tree: int, path: str, size: int, total: int, sample: np.ndarray, margin: float) -> list[tuple[str, float]]:
-    """(path, cut) of the splits below a node, from its sample; medians, until leaves are small or splits useless."""
+def _cut(x: np.ndarray, margin: float) -> float:
+    """Between the third and seventh tenth, the cut with the fewest values in its spill zone, of equal ones the middlemost."""
+    x = np.sort(x)
+    cuts = np.quantile(x, np.linspace(0.3, 0.7, 41))
+    spilled = np.searchsorted(x, cuts + margin, "right") - np.searchsorted(x, cuts - margin, "left")
+    return float(cuts[np.lexsort((np.abs(np.arange(41) - 20), spilled))[0]])
+
+
+def _fit(tree: int, path: str, size: int, total: int, sample: np.ndarray, margin: float) -> list[tuple[str, int, float]]:
+    """(path, turn, cut) of the splits below a node, from its sample, until leaves are small or no turn is useful.
+
+    A cut through a dense group would send most of it to both sides again and again; cuts look
+    for thin places, and a node that has none stays whole.
+    """
     splits, open_ = [], [(path, np.arange(len(sample)))]
     per_row = total / max(len(sample), 1)
     for _ in range(LEVELS):
@@ -51,13 +68,14 @@ def _fit(tree: int, path: str, size: int, total: int, sample: np.ndarray, margin
         for at, rows in open_:
             if len(rows) * per_row <= LEAF or len(rows) < 8:
                 continue
-            x = sample[rows] @ _direction(tree, at, size)
-            cut = float(np.median(x))
-            left, right = rows[x <= cut + margin], rows[x >= cut - margin]
-            if max(len(left), len(right)) > USEFUL * len(rows):
-                continue
-            splits.append((at, cut))
-            below += [(at + "0", left), (at + "1", right)]
+            for turn in range(TURNS):
+                x = sample[rows] @ _direction(tree, at, turn, size)
+                cut = _cut(x, margin)
+                left, right = rows[x <= cut + margin], rows[x >= cut - margin]
+                if max(len(left), len(right)) <= USEFUL_SIDE * len(rows) and len(left) + len(right) <= USEFUL_SUM * len(rows):
+                    splits.append((at, turn, cut))
+                    below += [(at + "0", left), (at + "1", right)]
+                    break
         open_ = below
     return splits
 
@@ -76,15 +94,16 @@ def _split_round(rows: DataFrame, threshold: float) -> tuple[DataFrame, bool]:
     def fit(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         size, tree, path = int(key[0]), int(key[1]), str(key[2])
         splits = _fit(tree, path, size, int(frame["total"].iloc[0]), _units(frame["unit"], size), _margin(threshold, size))
-        return pd.DataFrame({"size": [size], "tree": [tree], "path": [path], "at": [[s[0] for s in splits]], "cut": [[s[1] for s in splits]]})
+        return pd.DataFrame({"size": [size], "tree": [tree], "path": [path], "at": [[s[0] for s in splits]], "turn": [[s[1] for s in splits]], "cut": [[s[2] for s in splits]]})
 
-    model = sample.groupBy(*node).applyInPandas(fit, "size int, tree int, path string, at array<string>, cut array<double>")
+    model = sample.groupBy(*node).applyInPandas(fit, "size int, tree int, path string, at array<string>, turn array<int>, cut array<double>")
     model = written(model, "rp-splits")
 
     def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for (size, tree, path), own in frame.groupby(["size", "tree", "path"], sort=False):
-                cuts = {} if own["at"].iloc[0] is None else dict(zip(own["at"].iloc[0], own["cut"].iloc[0], strict=True))
+                first = own.iloc[0]
+                cuts = {at: (turn, cut) for at, turn, cut in zip(first["at"], first["turn"], first["cut"], strict=True)}
                 units, margin = _units(own["unit"], size), _margin(threshold, size)
                 open_ = [(path, np.arange(len(own)))]
                 while open_:
@@ -92,15 +111,17 @@ def _split_round(rows: DataFrame, threshold: float) -> tuple[DataFrame, bool]:
                     if not len(rows_):
                         continue
                     if at in cuts:
-                        x = units[rows_] @ _direction(tree, at, size)
-                        open_ += [(at + "0", rows_[x <= cuts[at] + margin]), (at + "1", rows_[x >= cuts[at] - margin])]
+                        turn, cut = cuts[at]
+                        x = units[rows_] @ _direction(tree, at, turn, size)
+                        open_ += [(at + "0", rows_[x <= cut + margin]), (at + "1", rows_[x >= cut - margin])]
                     else:
                         out = own.iloc[rows_][["node", "n", "size", "tree", "unit"]]
                         # A node that its own round could not split stays as it is.
                         yield out.assign(path=at, done=at == path)
 
     schema = "node long, n long, size int, tree int, unit binary, path string, done boolean"
-    moved = open_.join(model, node).drop("total").mapInPandas(route, schema)
+    # Sorted, so that a batch holds few nodes.
+    moved = open_.join(model, node).drop("total").sortWithinPartitions(*node).mapInPandas(route, schema)
     rest = rows.join(counts.select(*node), node, "left_anti").unionByName(rows.filter("done").join(counts.select(*node), node))
     return written(rest.unionByName(moved.select(*rest.columns)), "rp-rows"), True
 
@@ -112,6 +133,7 @@ def _compare_leaf(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
     its vectors know from their leaf lists.
     """
     size, leaf = int(frame["size"].iloc[0]), int(frame["leaf"].iloc[0])
+    block, across = frame["own"].to_numpy(), frame["x"].iloc[0] != frame["y"].iloc[0]
     units, n, nodes = _units(frame["unit"], size), frame["n"].to_numpy(), frame["node"].to_numpy()
     lower = [[x for x in leaves if x < leaf] for leaves in frame["leaves"]]
     names = {x: i for i, x in enumerate(dict.fromkeys(x for own in lower for x in own))}
@@ -125,6 +147,8 @@ def _compare_leaf(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
         for a in range(0, len(frame), 1024):
             near = units[a : a + 1024] @ units.T >= threshold
             near[np.arange(len(near)), a + np.arange(len(near))] = False
+            if across:
+                near &= block[a : a + 1024, None] != block[None, :]
             if not counted:
                 links[a : a + 1024] = (near & (member[a : a + 1024] @ member.T == 0)) @ n
             low = np.minimum(np.where(near, label[None, :], len(frame)).min(axis=1), label[a : a + 1024])
@@ -136,15 +160,15 @@ def _compare_leaf(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
 
 
 def _leaves(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Whole leaves from batches that are sorted by leaf."""
+    """Whole leaves, or pairs of their blocks, from batches that are sorted so."""
     held = None
     for frame in frames:
         frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
         if not len(frame):
             continue
-        last = frame["leaf"].iloc[-1]
-        ended = frame["leaf"] != last
-        for _, own in frame[ended].groupby("leaf", sort=False):
+        last = frame[["leaf", "x", "y"]].iloc[-1]
+        ended = (frame[["leaf", "x", "y"]] != last).any(axis=1)
+        for _, own in frame[ended].groupby(["leaf", "x", "y"], sort=False):
             yield own
         held = frame[~ended]
     if held is not None and len(held):
@@ -199,7 +223,14 @@ def link_embeddings(vectors: DataFrame, threshold: float = 0.95, key: str = "vec
             if len(leaf) > 1:
                 yield _compare_leaf(leaf, threshold)
 
-    sorted_ = placed.join(known, "node").select("leaf", "node", "n", "size", "unit", "leaves").repartition("leaf").sortWithinPartitions("leaf", "node")
+    large = placed.groupBy("leaf").count().filter(F.col("count") > BLOCK)
+    large = small(large.select("leaf", F.ceil(F.col("count") / BLOCK).cast("int").alias("_n")), "rp-large")
+    spread = placed.join(known, "node").join(large, "leaf", "left").withColumn("own", F.expr("pmod(xxhash64(node, 3), coalesce(_n, 1))"))
+    spread = spread.withColumn("_other", F.explode(F.expr("sequence(0, coalesce(_n, 1) - 1)")))
+    share = ["leaf", "x", "y"]
+    spread = spread.withColumns({"x": F.least("own", "_other"), "y": F.greatest("own", "_other")})
+    spread = spread.select(*share, "own", "node", "n", "size", "unit", "leaves")
+    sorted_ = spread.repartition(*share).sortWithinPartitions(*share, "node")
     found = sorted_.mapInPandas(compare, "node long, root long, links long").filter("links > 0 OR node != root")
     found = written(found, "rp-found")
     parts = connected(found.filter("node != root"), "node", "root")
