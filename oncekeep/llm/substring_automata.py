@@ -175,7 +175,7 @@ def remove_repeated_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, n_words, n_removed = [], [], []
-            for text, packed in zip(batch.column("_body"), batch.column("runs"), strict=True):
+            for text, packed in zip(batch.column("__body"), batch.column("__runs"), strict=True):
                 data = text.as_py().encode("utf-8", "surrogatepass")
                 start, stop = word_spans(data)
                 gone = covered_units(packed.as_py(), window, len(start))
@@ -190,8 +190,8 @@ def remove_repeated_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame
 
     import pyarrow.compute  # noqa: F401
 
-    rows = docs.withColumns({"_row": F.monotonically_increasing_id(), "_body": text_of()})
-    joined = rows.join(runs.withColumnRenamed("row", "_row"), "_row", "left").drop("_row")
+    rows = docs.withColumns({"__row": F.monotonically_increasing_id(), "__body": text_of()})
+    joined = rows.join(runs.select(F.col("row").alias("__row"), F.col("runs").alias("__runs")), "__row", "left").drop("__row")
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", n_words long, n_removed long"
     return joined.mapInArrow(cut, schema)
 
