@@ -158,6 +158,7 @@ def address_house_key(n1: Column, zip_: Column, country: Column) -> Column:
 
 def discount_name_score(title: Column, codes: Column) -> Column:
     """How much a discount reads like a welcome offer (first matching rule wins)."""
+    # The patterns and their points.
     hay = F.concat_ws(" ", F.coalesce(title, F.lit("")), codes)
     return (
         F.when(hay.rlike("(?i)welcome"), 4)
@@ -178,6 +179,7 @@ def parse_facts(raw: Column) -> Column:
     return F.filter(parsed, lambda x: x.isNotNull() & (x != ""))
 
 
-def describe_facts(facts: Column, template: str = "matched {} of a prior redemption") -> Column:
+def describe_facts(facts: Column, template: str) -> Column:
+    """Each fact put in the place of ``{}`` in the template."""
     before, after = template.split("{}")
     return F.transform(facts, lambda f: F.concat(F.lit(before), f, F.lit(after)))

@@ -186,8 +186,13 @@ def backfill_billing(ledger: DataFrame, history: DataFrame, shops: DataFrame) ->
 # -- subject access --------------------------------------------------------------------------
 
 
-def export_lines(requests: DataFrame, ledger: DataFrame, flags: DataFrame) -> DataFrame:
-    """One row per request and item: the customer's redemptions and flags (left join, none gives one null item)."""
+def export_lines(requests: DataFrame, ledger: DataFrame, flags: DataFrame, shops: DataFrame | None = None) -> DataFrame:
+    """One row per request and item: the customer's redemptions and flags (left join, none gives one null item).
+
+    With ``shops`` the ledger is a sealed one: its envelopes are opened with the shops' keys and
+    the items carry the personal values. Without, they carry those that the ledger holds in plain.
+    """
+    ledger = ledger if shops is None else unseal(ledger, shops)
     wanted = requests.filter(F.col("topic") == "customers/data_request").select("request_id", "shop_id", "customer_gid")
     who = ["shop_id", "customer_gid"]
     record = F.to_json(F.struct("record_id", "order_gid", "order_name", "offer_id", "created_at", *[c for c in ("email", "phone", "address", "billing", "ip", *HASHES) if c in ledger.columns]))
@@ -227,13 +232,11 @@ def apply_shop_events(shops: DataFrame, events: DataFrame) -> DataFrame:
     return out.withColumn("uninstalled_at", stamp).select(shops.columns)
 
 
-def cancel_pending(jobs: DataFrame, shops: DataFrame, now: str) -> DataFrame:
-    """Pending work of uninstalled shops is cancelled."""
+def cancel_pending(jobs: DataFrame, shops: DataFrame) -> DataFrame:
+    """Pending work of uninstalled shops is cancelled; it gets no completion time, as it was never done."""
     gone = shops.filter(F.col("uninstalled_at").isNotNull()).select("shop_id", F.lit(True).alias("_gone"))
     hit = F.col("_gone").isNotNull() & (F.col("status") == "pending")
-    return jobs.join(gone, "shop_id", "left").withColumns(
-        {"completed_at": F.when(hit, F.to_timestamp(F.lit(now))).otherwise(F.col("completed_at")), "status": F.when(hit, "cancelled").otherwise(F.col("status"))}
-    ).select(jobs.columns)
+    return jobs.join(gone, "shop_id", "left").withColumn("status", F.when(hit, "cancelled").otherwise(F.col("status"))).select(jobs.columns)
 
 
 def dispose_flags(flags: DataFrame, actions: DataFrame) -> DataFrame:

@@ -81,15 +81,22 @@ def signal_contribution(flags: DataFrame) -> DataFrame:
     return each.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("offer_id")), 6))
 
 
+def _first_per_shop(df: DataFrame, order: list[Column], limit: int) -> DataFrame:
+    """The first rows of each shop; Spark cuts each task's share of a shop before the shuffle."""
+    first = Window.partitionBy("shop_id").orderBy(*order)
+    return df.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= limit)
+
+
 def suggest_discounts(discounts: DataFrame, offers: DataFrame, limit: int = 100) -> DataFrame:
-    """Discounts with codes not protected yet, best welcome-offer candidates first."""
+    """Each shop's discounts with codes not protected yet, best welcome-offer candidates first."""
     live = discounts.filter(F.col("status").isin("ACTIVE", "SCHEDULED") & (F.size("codes") > 0))
     taken = offers.filter(F.col("archived_at").isNull()).select("shop_id", F.col("code_upper").alias("code")).distinct()
     used = live.select("shop_id", "discount_id", F.explode(F.transform("codes", F.upper)).alias("code"))
     clash = used.join(taken, ["shop_id", "code"]).select("shop_id", "discount_id").distinct()
     free = live.join(clash, ["shop_id", "discount_id"], "left_anti")
     ranked = free.withColumn("name_score", discount_name_score(F.col("title"), F.col("codes")))
-    return ranked.orderBy(F.col("once_per_customer").desc(), F.col("name_score").desc(), F.col("created_at").desc(), "discount_id").limit(limit)
+    order = [F.col("once_per_customer").desc(), F.col("name_score").desc(), F.col("created_at").desc(), F.col("discount_id")]
+    return _first_per_shop(ranked, order, limit)
 
 
 # -- flags -----------------------------------------------------------------------------------
@@ -99,9 +106,11 @@ def pending_flags(flags: DataFrame) -> DataFrame:
     return _counts(flags, ["shop_id"], pending=F.col("merchant_action") == "pending")
 
 
-def flag_list(flags: DataFrame, offers: DataFrame, limit: int = 100) -> DataFrame:
-    """Newest flags with the offer's name."""
-    top = flags.orderBy(F.col("created_at").desc(), "order_gid").limit(limit)
+def flag_list(flags: DataFrame, offers: DataFrame, limit: int = 100, action: str | None = None, offer_id: str | None = None) -> DataFrame:
+    """Each shop's newest flags with the offer's name, of one merchant action and offer if given."""
+    wanted = flags if action is None else flags.filter(F.col("merchant_action") == action)
+    wanted = wanted if offer_id is None else wanted.filter(F.col("offer_id") == offer_id)
+    top = _first_per_shop(wanted, [F.col("created_at").desc(), F.col("order_gid")], limit)
     return top.join(offers.select("offer_id", F.col("name").alias("offer_name")), "offer_id", "left")
 
 
@@ -220,7 +229,9 @@ def newest(df: DataFrame, time_col: str, tie: str, limit: int) -> DataFrame:
 
 
 def dead_letters(jobs: DataFrame, limit: int = 50) -> DataFrame:
-    failed = newest(jobs.filter(F.col("status") == "failed"), "created_at", "job_id", limit)
+    """Newest failed jobs that are not tried again."""
+    dead = (F.col("status") == "failed") & (F.col("attempts") >= DEAD_AFTER)
+    failed = newest(jobs.filter(dead), "created_at", "job_id", limit)
     return failed.withColumn("payload", clip(F.col("payload")))
 
 
@@ -245,7 +256,7 @@ def daily_series(ledger: DataFrame, flags: DataFrame, now: str, days: int = 30)
     span = F.sequence(F.date_sub(end, days - 1), end, F.expr("interval 1 day"))
     calendar = ledger.sparkSession.range(1).select(F.explode(span).alias("day"))
     per_day = lambda df, name: (
-        df.filter(F.to_date("created_at").between(F.date_sub(end, days - 1), end))
+        df.filter((F.col("created_at") >= F.to_timestamp(F.date_sub(end, days - 1))) & (F.col("created_at") < F.to_timestamp(F.date_add(end, 1))))
         .groupBy(F.to_date("created_at").alias("day")).agg(F.count("*").alias(name))
     )
     return _with_counts(calendar, "day", per_day(ledger, "redemptions"), per_day(flags, "flagged"))

@@ -13,11 +13,11 @@ _KINDS = {"phone": "phone_hashes", "email": "email_hashes", "full": "address_ful
 
 
 def screen(buyers: DataFrame, offer_buckets: DataFrame) -> DataFrame:
-    """Score each buyer against each offer of the shop that has a bucket.
+    """Score each buyer against the offers of the shop that it scores on: those hit by a signal, with a tag all.
 
     ``buyers`` holds shop_id, buyer_id, has_tag and the hashes phone_hash, email_hash,
     address_full_hash, address_house_hash as 8 hex digits. A bucket is bounded by the snapshot
-    cap. Only offers hit by some signal are joined by hash; the others score the tag alone.
+    cap, so a shop has a bounded number of hashes and offers. A pair that scores nothing has no row.
     """
     tagged = lambda kind, hashes: F.transform(hashes, lambda h: F.struct(F.lit(kind).alias("kind"), h.alias("hash")))
     members = F.flatten(F.array(*[tagged(k, c) for k, c in _KINDS.items()]))
@@ -31,14 +31,16 @@ def screen(buyers: DataFrame, offer_buckets: DataFrame) -> DataFrame:
     signals = buyers.select("shop_id", "buyer_id", F.inline(F.filter(asked, lambda x: x["hash"].isNotNull())))
     hits = signals.join(holders, ["shop_id", "kind", "hash"]).select("shop_id", "buyer_id", "kind", F.explode("offers").alias("offer_id"))
     has = lambda kind: F.max((F.col("kind") == kind).cast("int"))
-    matched = hits.groupBy("shop_id", "buyer_id", "offer_id").agg(*[has(k).alias(f"_{k}") for k in _KINDS])
-    pairs = buyers.select("shop_id", "buyer_id", "has_tag").join(offer_buckets.select("shop_id", "offer_id", "mode"), "shop_id")
-    joined = pairs.join(matched, ["shop_id", "buyer_id", "offer_id"], "left").fillna(0, [f"_{k}" for k in _KINDS])
+    offers = small(offer_buckets.select("shop_id", "offer_id", "mode"), "offers")
+    tags = buyers.filter("has_tag").select("shop_id", "buyer_id").join(offers.drop("mode"), "shop_id")
+    hits = hits.unionByName(tags.withColumn("kind", F.lit("tag")))
+    matched = hits.groupBy("shop_id", "buyer_id", "offer_id").agg(*[has(k).alias(f"_{k}") for k in (*_KINDS, "tag")])
+    joined = matched.join(offers, ["shop_id", "offer_id"])
     score = (
         F.col("_phone") * PHONE
         + F.col("_email") * EMAIL
         + F.when(F.col("_full") == 1, FULL).when(F.col("_house") == 1, HOUSE).otherwise(0)
-        + F.when(F.col("has_tag"), TAG).otherwise(0)
+        + F.col("_tag") * TAG
     )
     return joined.select(
         "shop_id", "buyer_id", "offer_id", "mode", score.alias("score"),

@@ -13,18 +13,21 @@ from ..session import written
 BROADCAST_ROWS = 200_000
 # At most this many keys can each hold more than 1/MAX_HEAVY of all rows.
 MAX_HEAVY = 2_000
+# A key with more rows than this is too much for one task, however large the table is.
+TASK_ROWS = 5_000_000
 
 
 def attach(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
     """Left-join ``table`` (unique on ``keys``, already written) to ``rows``.
 
     ``weight`` counts how many of the ``total`` rows carry each key. A small table is broadcast.
-    Otherwise only the keys above ``total / MAX_HEAVY`` are - there cannot be more than
-    ``MAX_HEAVY`` of them - so no shuffle partition receives a heavy key.
+    Otherwise only the keys above ``total / MAX_HEAVY`` or ``TASK_ROWS`` are, so no shuffle
+    partition receives a heavy key. A key needs ``total / BROADCAST_ROWS`` rows to count, so
+    there cannot be more than ``BROADCAST_ROWS`` of them.
     """
     if table.count() <= BROADCAST_ROWS:
         return rows.join(F.broadcast(table), keys, "left")
-    is_heavy = F.col(weight) > max(total // MAX_HEAVY, 1)
+    is_heavy = F.col(weight) > max(min(total // MAX_HEAVY, TASK_ROWS), total // max(BROADCAST_ROWS, MAX_HEAVY), 1)
     heavy, light = table.filter(is_heavy), table.filter(~is_heavy)
     hot = rows.join(F.broadcast(heavy), keys)
     rest = rows.join(F.broadcast(heavy.select(keys)), keys, "left_anti").join(light, keys, "left")

@@ -205,7 +205,7 @@ FLAGS = f"""flags AS MATERIALIZED (SELECT shop_id, offer_id, order_gid, order_na
   (4 + k % 14)::BIGINT AS score, CASE WHEN 4 + k % 14 >= 10 THEN 'HIGH' ELSE 'MEDIUM' END AS risk_level,
   CASE WHEN k % 60 = 0 THEN 'dismissed' ELSE 'pending' END AS merchant_action,
   CASE k % 3 WHEN 0 THEN ['phone'] WHEN 1 THEN ['email_canonical', 'ip_v4_24'] ELSE ['address_full'] END AS facts
-  FROM src WHERE k % 20 = 0)"""
+  FROM src)"""
 OFFERS = """offers AS MATERIALIZED (SELECT shop_id || ':' || p AS offer_id, shop_id, 'Welcome ' || p AS name, 'active' AS status, p,
   CASE WHEN p = '4' THEN 'watch' ELSE 'block' END AS mode, CASE WHEN p = '5' THEN TIMESTAMP '2001-01-01' END AS archived_at
   FROM (SELECT DISTINCT substr(o_orderpriority, 1, 1) AS p FROM orders), shops)"""
@@ -213,7 +213,7 @@ REQUESTS = f"""reqs AS MATERIALIZED (SELECT *, CASE WHEN c % 4 = 0 THEN received
   SELECT c_custkey AS c, 'req/' || c_custkey AS request_id, 'shop_' || (c_nationkey % 5) AS shop_id, 'customer/' || c_custkey AS customer_gid,
   CASE c_custkey % 3 WHEN 0 THEN 'customers/redact' WHEN 1 THEN 'customers/data_request' ELSE 'shop/redact' END AS topic,
   TIMESTAMP '{NOW}' - to_days((c_custkey % 20)::INTEGER) - to_seconds(c_custkey % 1000) AS received_at,
-  CASE WHEN c_custkey % 4 = 0 THEN 'completed' ELSE 'pending' END AS status FROM customer WHERE c_custkey % 7 = 0))"""
+  CASE WHEN c_custkey % 4 = 0 THEN 'completed' ELSE 'pending' END AS status FROM customer))"""
 DELIVERIES = """deliveries AS MATERIALIZED (SELECT 'wh/' || event_id AS webhook_gid, 'shop_' || (user_id % 5) AS shop_id, event_type AS topic, props AS payload, ts AS received_at,
   CASE WHEN event_id % 9 <> 0 THEN ts + to_seconds(event_id % 97) END AS processed_at, CASE WHEN event_id % 9 = 0 THEN 'failed' ELSE 'done' END AS status
   FROM (SELECT event_id, user_id, event_type, props, ts FROM events UNION ALL SELECT event_id, user_id, event_type, props, ts + to_minutes(5) FROM events WHERE event_id % 10 = 0))"""
@@ -235,6 +235,7 @@ def _with(*ctes: str) -> str:
 
 
 _REPORT = _with(SHOPS, SRC, FLAGS, OFFERS)
+_IP = "CASE WHEN is_v6 THEN '2402:0800:' || lower(to_hex(c % 200)) || '::' || lower(to_hex(k % 250)) ELSE '10.' || (c % 8) || '.' || (c % 200) || '.' || (k % 250) END"
 _MONTH = f"created_at >= TIMESTAMP '{NOW}' - INTERVAL 30 DAY"
 _ROLLUP = (
     _with(MERCHANTS)
@@ -260,9 +261,10 @@ SELECT offer_id, record_id, signal, hash, group_size, first_prior_id FROM (SELEC
   first_value(record_id) OVER (PARTITION BY offer_id, signal, hash ORDER BY pos) AS first_prior_id, min(pos) OVER w AS first_pos
   FROM facet WINDOW w AS (PARTITION BY offer_id, signal, hash)) WHERE pos > first_pos""",
     "recent_candidates": f"""{BASE}, r AS (SELECT offer_id, record_id, row_number() OVER (PARTITION BY offer_id ORDER BY created_at, record_id) AS pos FROM src WHERE p <> '5')
-SELECT x.offer_id, x.record_id, x.pos, least(x.pos - 1, 100) AS n_recent, y.record_id AS oldest_id
-FROM r x LEFT JOIN r y ON x.offer_id = y.offer_id AND x.pos > 1 AND y.pos = x.pos - least(x.pos - 1, 100)""",
+SELECT x.offer_id, x.record_id, x.pos, least(x.pos - 1, 10000) AS n_recent, y.record_id AS oldest_id
+FROM r x LEFT JOIN r y ON x.offer_id = y.offer_id AND x.pos > 1 AND y.pos = x.pos - least(x.pos - 1, 10000)""",
     "fuzzy_best": f"{_linked(False)} SELECT offer_id, record_id, score, facts FROM best",
+    "score_orders_hot": f"{_LINKED} SELECT offer_id, record_id, score, facts FROM best",
     "score_orders": f"{_LINKED} SELECT offer_id, record_id, score, facts FROM best",
     "match_attribution": f"""{_LINKED}, w AS (SELECT offer_id, pos, facts, min(prior) AS prior FROM top GROUP BY ALL)
 SELECT x.offer_id, x.record_id, array_to_string(list_sort(list_distinct(list(y.record_id))), ',') AS matched_ids
@@ -286,6 +288,11 @@ FROM sig LEFT JOIN hit ON sig.shop_id = hit.shop_id AND sig.customer_gid = hit.c
 {_sig('salt_hex', 'sig2', 'turned')} SELECT record_id, phone_hash, email_hash, address_full_hash, address_house_hash, billing_full_hash, ip_hash,
   {_list('email_sketch')} AS email_sketch, {_list('address_sketch')} AS address_sketch FROM sig2""",
     "rotate_salt_versions": f"{BASE} SELECT shop_id, CASE WHEN shop_id <= 'shop_2' THEN md5('new:' || shop_id) ELSE salt_hex END AS salt_hex, CASE WHEN shop_id <= 'shop_2' THEN 2 ELSE 1 END::BIGINT AS salt_version FROM shops WHERE shop_id IN (SELECT shop_id FROM src)",
+    "encrypt_roundtrip": f"{BASE} SELECT record_id, canonical_email AS email, canonical_phone AS phone, line1 AS address1, {_IP} AS ip, CASE WHEN email IS NOT NULL THEN TRUE END AS sealed FROM canon",
+    "rewrap_keys": "SELECT c_custkey, TRUE AS kept FROM customer",
+    "export_decrypted": f"""{_with(SHOPS, SRC, CANON, FLAGS)}, {REQUESTS}, items AS (SELECT shop_id, customer_gid, 'redemption' AS kind, order_gid, canonical_email AS email, canonical_phone AS phone, line1 AS address1, {_IP} AS ip, NULL::BIGINT AS score FROM canon
+  UNION ALL SELECT shop_id, customer_gid, 'flag', order_gid, NULL, NULL, NULL, NULL, score FROM flags)
+SELECT request_id, kind, order_gid, email, phone, address1, ip, score FROM reqs r LEFT JOIN items i ON r.shop_id = i.shop_id AND r.customer_gid = i.customer_gid WHERE topic = 'customers/data_request'""",
     "export_subject": f"""{_REPORT}, {REQUESTS}, items AS (SELECT shop_id, customer_gid, 'redemption' AS kind, order_gid FROM src UNION ALL SELECT shop_id, customer_gid, 'flag', order_gid FROM flags)
 SELECT request_id, r.customer_gid, kind, order_gid FROM reqs r LEFT JOIN items i ON r.shop_id = i.shop_id AND r.customer_gid = i.customer_gid WHERE topic = 'customers/data_request'""",
     "export_envelopes": f"""{_REPORT}, {REQUESTS}, items AS (SELECT shop_id, customer_gid, 'redemption' AS kind, order_gid FROM src UNION ALL SELECT shop_id, customer_gid, 'flag', order_gid FROM flags)
@@ -299,7 +306,7 @@ FROM reqs r LEFT JOIN items i ON r.shop_id = i.shop_id AND r.customer_gid = i.cu
   CASE WHEN status = 'failed' AND job_id % 4 <> 0 AND job_id % 2 = 1 THEN epoch_us(TIMESTAMP '{EVENTS_NOW}') ELSE epoch_us(completed_at) END AS completed_at FROM jobs""",
     "uninstall_shops": f"""{_with(MERCHANTS)}, last AS (SELECT user_id, arg_max(event_type, ts) AS t, max(ts) AS seen FROM events WHERE event_type IN ('error', 'signup') GROUP BY 1)
 SELECT shop_id, epoch_us(CASE WHEN t IS NULL THEN uninstalled_at WHEN t = 'error' THEN seen END) AS uninstalled_at FROM merchants LEFT JOIN last ON user_id = shop_id""",
-    "cancel_pending": f"{_with(JOBS)} SELECT shop_id, CASE WHEN status = 'pending' AND shop_id = 'shop_4' THEN 'cancelled' ELSE status END AS status, count(*) AS n FROM jobs GROUP BY ALL",
+    "cancel_pending": f"{_with(JOBS)} SELECT shop_id, CASE WHEN status = 'pending' AND shop_id = 'shop_4' THEN 'cancelled' ELSE status END AS status, count(*) AS n, count(completed_at) AS completed FROM jobs GROUP BY ALL",
     "change_offers": f"""{_REPORT}, last AS (SELECT offer_id, k FROM (SELECT *, row_number() OVER (PARTITION BY offer_id ORDER BY created_at DESC, k DESC) AS r FROM src) WHERE r = 1)
 SELECT offer_id, CASE WHEN k % 2 = 0 THEN 'inactive' ELSE status END AS status, CASE WHEN k % 3 = 0 THEN 'watch' ELSE mode END AS mode, archived_at IS NOT NULL AS archived FROM offers LEFT JOIN last USING (offer_id)""",
     "redeemer_tags": f"""{BASE}, {REQUESTS} SELECT DISTINCT shop_id, customer_gid FROM src WHERE customer_gid IS NOT NULL
@@ -316,7 +323,7 @@ FROM doc LEFT JOIN (SELECT shop_id, count(*) AS n, min(ts) AS oldest_ts, max(ts)
 points AS (SELECT s.record_id, b.offer_id, b.mode, (10 * coalesce(ph, 0) + 10 * coalesce(em, 0) + CASE WHEN fu = 1 THEN 10 WHEN ho = 1 THEN 8 ELSE 0 END
   + CASE WHEN s.record_id % 50 = 0 THEN 10 ELSE 0 END)::BIGINT AS score
   FROM sig s JOIN bucket b ON s.shop_id = b.shop_id LEFT JOIN hit ON hit.record_id = s.record_id AND hit.offer_id = b.offer_id)
-SELECT record_id AS buyer_id, offer_id, mode, score, score >= 10 AND mode = 'block' AS blocked FROM points""",
+SELECT record_id AS buyer_id, offer_id, mode, score, score >= 10 AND mode = 'block' AS blocked FROM points WHERE score > 0""",
     "offer_counts_30d": f"""{_REPORT} SELECT offer_id, shop_id, name, status, (SELECT count(*) FROM src s WHERE s.offer_id = o.offer_id AND {_MONTH}) AS redemptions,
   (SELECT count(*) FROM flags f WHERE f.offer_id = o.offer_id AND {_MONTH}) AS flagged FROM offers o WHERE archived_at IS NULL""",
     "offer_detail": f"""{_REPORT} SELECT offer_id, name, status, mode, (SELECT count(*) FROM src s WHERE s.offer_id = o.offer_id AND {_MONTH}) AS redemptions_30d,
@@ -342,18 +349,19 @@ SELECT *, CASE WHEN flagged_30d = 0 THEN 0.0 ELSE floor(dismissed_30d * 1000.0::
     "shop_lifecycle": f"{_with(MERCHANTS)} SELECT CASE WHEN uninstalled_at IS NULL THEN 'active' WHEN uninstalled_at >= TIMESTAMP '2001-06-01' - INTERVAL 48 HOUR THEN 'uninstalling' ELSE 'gone' END AS lifecycle, count(*) AS n FROM merchants GROUP BY 1",
     "status_depth": f"{_with(JOBS)} SELECT count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'running') AS running, count(*) FILTER (status = 'failed' AND attempts < 5) AS failed, count(*) FILTER (status = 'failed' AND attempts >= 5) AS dead FROM jobs",
     "job_list": f"{_with(JOBS)} SELECT job_id, type, status FROM jobs WHERE type LIKE '%err%' ORDER BY created_at DESC, job_id LIMIT 100",
-    "dead_letters": f"{_with(JOBS)} SELECT job_id, substr(payload, 1, 200) AS payload FROM jobs WHERE status = 'failed' ORDER BY created_at DESC, job_id LIMIT 50",
+    "dead_letters": f"{_with(JOBS)} SELECT job_id, substr(payload, 1, 200) AS payload FROM jobs WHERE status = 'failed' AND attempts >= 5 ORDER BY created_at DESC, job_id LIMIT 50",
     "requests_by_topic": f"{_with(REQUESTS)} SELECT topic, count(*) AS n, string_agg(request_id, ',' ORDER BY received_at DESC, request_id) AS request_ids FROM (SELECT * FROM reqs ORDER BY received_at DESC, request_id LIMIT 200) GROUP BY 1",
     "request_age": f"""{_with(REQUESTS)} SELECT request_id, age AS age_days, CASE WHEN completed_at IS NOT NULL THEN CASE WHEN age <= 7 THEN 'met' ELSE 'missed' END WHEN age > 7 THEN 'overdue' ELSE 'open' END AS deadline
 FROM (SELECT *, date_diff('day', received_at::DATE, coalesce(completed_at, TIMESTAMP '{NOW}')::DATE) AS age FROM reqs)""",
     "pending_flags": f"{_REPORT} SELECT shop_id, count(*) FILTER (merchant_action = 'pending') AS pending FROM flags GROUP BY 1",
-    "flag_list_top100": f"{_REPORT} SELECT order_gid, name AS offer_name, risk_level, score FROM (SELECT * FROM flags ORDER BY created_at DESC, order_gid LIMIT 100) f LEFT JOIN offers o ON f.offer_id = o.offer_id",
-    "find_flag": f"{_REPORT} SELECT order_gid, name AS offer_name, 'Welcome' || p AS code, score FROM flags f LEFT JOIN offers o ON f.offer_id = o.offer_id WHERE f.shop_id = 'shop_2' AND order_gid = 'order/0'",
+    "flag_list_top100": f"{_REPORT} SELECT f.shop_id, order_gid, name AS offer_name, risk_level, score FROM (SELECT *, row_number() OVER (PARTITION BY shop_id ORDER BY created_at DESC, order_gid) AS r FROM flags) f LEFT JOIN offers o ON f.offer_id = o.offer_id WHERE r <= 100",
+    "flag_list_dismissed": f"{_REPORT} SELECT f.shop_id, order_gid, name AS offer_name, risk_level, score FROM (SELECT *, row_number() OVER (PARTITION BY shop_id ORDER BY created_at DESC, order_gid) AS r FROM flags WHERE merchant_action = 'dismissed' AND offer_id = 'shop_1:2') f LEFT JOIN offers o ON f.offer_id = o.offer_id WHERE r <= 100",
+    "find_flag": f"{_REPORT} SELECT order_gid, name AS offer_name, 'Welcome' || p AS code, score FROM flags f LEFT JOIN offers o ON f.offer_id = o.offer_id WHERE f.shop_id = 'shop_2' AND order_gid = (SELECT min(order_gid) FROM flags WHERE shop_id = 'shop_2')",
     "code_conflicts": "SELECT p_partkey % 5 AS shop_id, upper(p_brand) AS code_upper, count(*) AS n FROM part WHERE p_partkey % 3 <> 0 GROUP BY 1, 2 HAVING count(*) > 1",
     "suggest_discounts": f"""{_with(SHOPS, OFFERS, DISCOUNTS)}, ranked AS (SELECT *, CASE WHEN hay ILIKE '%welcome%' THEN 4 WHEN hay ILIKE '%first%' THEN 3 WHEN regexp_matches(lower(hay), '\\bnew\\b|newbie|newcustomer') THEN 2 WHEN hay ILIKE '%intro%' THEN 1 ELSE 0 END AS name_score
   FROM (SELECT *, title || ' ' || array_to_string(codes, ' ') AS hay FROM discounts WHERE status <> 'EXPIRED' AND len(codes) > 0) d
   WHERE NOT EXISTS (SELECT 1 FROM offers o WHERE o.shop_id = d.shop_id AND archived_at IS NULL AND list_contains(list_transform(d.codes, lambda c: upper(c)), 'WELCOME' || o.p)))
-SELECT discount_id, title, once_per_customer, name_score::BIGINT AS name_score FROM ranked ORDER BY once_per_customer DESC, name_score DESC, created_at DESC, discount_id LIMIT 100""",
+SELECT shop_id, discount_id, title, once_per_customer, name_score::BIGINT AS name_score FROM (SELECT *, row_number() OVER (PARTITION BY shop_id ORDER BY once_per_customer DESC, name_score DESC, created_at DESC, discount_id) AS r FROM ranked) WHERE r <= 100""",
     "signal_contribution": f"{_REPORT}, e AS (SELECT offer_id, unnest(facts) AS fact FROM flags), c AS (SELECT offer_id, fact, count(*) AS n FROM e GROUP BY 1, 2) SELECT *, round(n::DOUBLE / sum(n) OVER (PARTITION BY offer_id), 6) AS share FROM c",
     "daily_series": f"""{_REPORT}, cal AS (SELECT (DATE '{NOW[:10]}' - i::INTEGER) AS day FROM range(0, 30) t(i))
 SELECT day::VARCHAR AS day, (SELECT count(*) FROM src WHERE created_at::DATE = day) AS redemptions, (SELECT count(*) FROM flags WHERE created_at::DATE = day) AS flagged FROM cal""",
@@ -365,7 +373,7 @@ SELECT cohort::VARCHAR AS cohort, week, count(*) AS shops, count(*) FILTER (unin
     "flag_rate_histogram": "SELECT least(f * 10 // r, 9)::BIGINT AS bin, count(*) AS shops FROM (SELECT l_suppkey, count(*) AS r, count(*) FILTER (l_returnflag = 'R') AS f FROM lineitem GROUP BY 1) GROUP BY 1",
     "latency_percentiles": f"""{_with(DELIVERIES)}, t AS (SELECT topic, epoch_ms(processed_at) - epoch_ms(received_at) AS ms FROM deliveries WHERE processed_at IS NOT NULL)
 SELECT topic, quantile_cont(ms::DOUBLE, 0.5) AS p50, quantile_cont(ms::DOUBLE, 0.95) AS p95, quantile_cont(ms::DOUBLE, 0.99) AS p99 FROM t GROUP BY 1""",
-    "setup_status": f"""{_with(MERCHANTS)} SELECT shop_id, EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = shop_id AND l_linenumber = 7) AS has_offer, EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = shop_id) AS has_redemption FROM merchants""",
+    "setup_status": f"""{_with(MERCHANTS)} SELECT shop_id, EXISTS (SELECT 1 FROM part WHERE 3 * p_partkey = shop_id) AS has_offer, EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = shop_id) AS has_redemption FROM merchants""",
     "offers_not_enforced": "SELECT p_partkey AS offer_id FROM part WHERE p_size > 10 AND p_partkey % 2 = 1 AND p_partkey % 3 <> 0",
     "audit_search": "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20' AND user_id = 7",
 }

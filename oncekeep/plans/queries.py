@@ -106,7 +106,7 @@ def exact_candidates(spark, d):
 
 @query
 def recent_candidates(spark, d):
-    return linkage.recent_windows(_matched(spark, d), window=100)
+    return linkage.recent_windows(_matched(spark, d))
 
 
 @query
@@ -126,6 +126,13 @@ def score_orders(spark, d):
     return _scored(spark, d).select("offer_id", "record_id", F.col("score").cast("long").alias("score"), _text("facts").alias("facts"))
 
 
+@query
+def score_orders_hot(spark, d):
+    """The same scores with nearly every shared key taken as hot, so without listing its pairs."""
+    got = linkage.best_matches(_matched(spark, d), derive=_with_signals(spark, d), pair_limit=8)
+    return got.select("offer_id", "record_id", F.col("score").cast("long").alias("score"), _text("facts").alias("facts"))
+
+
 @query
 def match_attribution(spark, d):
     got = linkage.attribution(_scored(spark, d))
@@ -225,14 +232,14 @@ def rotate_salt_versions(spark, d):
 
 @query
 def encrypt_roundtrip(spark, d):
-    """No SQL counterpart: the IV is random."""
+    """Sealed and opened again; the random IV leaves no trace in the values."""
     opened = ops.unseal(_sealed(spark, d), fx.shops(spark, d))
     return opened.select("record_id", "email", "phone", "address.address1", "ip", (F.length("email_ciphertext") > 0).alias("sealed"))
 
 
 @query
 def rewrap_keys(spark, d):
-    """No SQL counterpart. One data key per customer moves from an old to a new wrapping key."""
+    """One data key per customer moves from an old to a new wrapping key."""
     old, new = F.unhex(F.lit("aa" * 32)), F.unhex(F.lit("bb" * 32))
     keys = fx.table(spark, d, "customer").select("c_custkey", F.sha2(F.col("c_custkey").cast("string"), 256).alias("dek"))
     wrapped = keys.withColumn("wrapped", crypto.encrypt(F.col("dek"), old))
@@ -256,6 +263,15 @@ def export_envelopes(spark, d):
     )
 
 
+@query
+def export_decrypted(spark, d):
+    """The same from the sealed ledger, with the personal values opened."""
+    lines = ops.export_lines(fx.requests(spark, d), _sealed(spark, d), fx.flags(spark, d), fx.shops(spark, d))
+    item = F.from_json("item", "email string, phone string, address struct<address1: string>, ip string, score int")
+    got = lines.withColumn("i", item)
+    return got.select("request_id", "kind", "order_gid", "i.email", "i.phone", F.col("i.address.address1").alias("address1"), "i.ip", F.col("i.score").cast("long").alias("score"))
+
+
 @query
 def archive_logs(spark, d):
     return ops.archive_keep(fx.deliveries(spark, d), "received_at", 10, EVENTS_NOW).select("webhook_gid", F.unix_micros("received_at").alias("received_at"))
@@ -295,8 +311,8 @@ def uninstall_shops(spark, d):
 
 @query
 def cancel_pending(spark, d):
-    got = ops.cancel_pending(fx.jobs(spark, d), fx.shops(spark, d), EVENTS_NOW)
-    return got.groupBy("shop_id", "status").agg(F.count("*").alias("n"))
+    got = ops.cancel_pending(fx.jobs(spark, d), fx.shops(spark, d))
+    return got.groupBy("shop_id", "status").agg(F.count("*").alias("n"), F.count("completed_at").alias("completed"))
 
 
 @query
@@ -448,12 +464,22 @@ def pending_flags(spark, d):
 @query
 def flag_list_top100(spark, d):
     got = reports.flag_list(fx.flags(spark, d), fx.offers(spark, d))
-    return got.select("order_gid", "offer_name", "risk_level", F.col("score").cast("long").alias("score"))
+    return got.select("shop_id", "order_gid", "offer_name", "risk_level", F.col("score").cast("long").alias("score"))
+
+
+@query
+def flag_list_dismissed(spark, d):
+    """Each shop's newest dismissed flags of one offer."""
+    got = reports.flag_list(fx.flags(spark, d), fx.offers(spark, d), action="dismissed", offer_id="shop_1:2")
+    return got.select("shop_id", "order_gid", "offer_name", "risk_level", F.col("score").cast("long").alias("score"))
 
 
 @query
 def find_flag(spark, d):
-    got = reports.find_flag(fx.flags(spark, d), fx.offers(spark, d), "shop_2", "order/0")
+    """The flag of the shop's first order."""
+    flags = fx.flags(spark, d)
+    first = flags.filter(F.col("shop_id") == "shop_2").agg(F.min("order_gid")).first()[0]
+    got = reports.find_flag(flags, fx.offers(spark, d), "shop_2", first)
     return got.select("order_gid", "offer_name", "code", F.col("score").cast("long").alias("score"))
 
 
@@ -470,7 +496,7 @@ def code_conflicts(spark, d):
 @query
 def suggest_discounts(spark, d):
     got = reports.suggest_discounts(fx.discounts(spark, d), fx.offers(spark, d))
-    return got.select("discount_id", "title", "once_per_customer", F.col("name_score").cast("long").alias("name_score"))
+    return got.select("shop_id", "discount_id", "title", "once_per_customer", F.col("name_score").cast("long").alias("name_score"))
 
 
 @query
@@ -513,8 +539,9 @@ def latency_percentiles(spark, d):
 
 @query
 def setup_status(spark, d):
-    sales = fx.merchant_sales(spark, d)
-    return reports.setup_status(fx.merchants(spark, d), sales.filter(F.col("line") == 7), sales)
+    """Parts as offers of the merchant with three times their number."""
+    offers = fx.table(spark, d, "part").select((F.col("p_partkey") * 3).alias("shop_id"))
+    return reports.setup_status(fx.merchants(spark, d), offers, fx.merchant_sales(spark, d))
 
 
 @query

@@ -195,7 +195,7 @@ def test_codes_facts_and_names(spark):
     assert df.select(text.normalize_codes(F.col("v"))).first()[0] == ["WELCOME10", "X"]
     facts = ['["phone",""]', "broken", None, '["a","b"]']
     assert column(spark, facts, text.parse_facts(F.col("v"))) == [["phone"], [], [], ["a", "b"]]
-    assert column(spark, facts[:1], text.describe_facts(text.parse_facts(F.col("v")))) == [["matched phone of a prior redemption"]]
+    assert column(spark, facts[:1], text.describe_facts(text.parse_facts(F.col("v")), "earlier {} seen")) == [["earlier phone seen"]]
     names = ["Welcome first", "First order", "new here", "renewal", "Intro", "x"]
     assert column(spark, names, text.discount_name_score(F.col("v"), F.array(F.lit("C1")))) == [4, 3, 2, 0, 1, 0]
     assert column(spark, ["a" * 300], F.length(text.clip(F.col("v")))) == [200]
