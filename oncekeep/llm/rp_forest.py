@@ -30,6 +30,8 @@ USEFUL_SIDE, USEFUL_SUM = 0.9, 1.4
 TURNS = 4
 # Vectors of one leaf that a task compares; larger leaves are cut into blocks and each pair of blocks is a share.
 BLOCK = 10_000
+# Pairs compared in one numpy step.
+TILE = 1_000_000
 
 
 def _direction(tree: int, path: str, turn: int, size: int) -> np.ndarray:
@@ -141,19 +143,19 @@ def _compare_leaf(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
     for i, own in enumerate(lower):
         member[i, [names[x] for x in own]] = 1
     links, label = np.zeros(len(frame), dtype=np.int64), np.arange(len(frame))
-    changed, counted = True, False
+    changed, counted, step = True, False, max(1, TILE // len(frame))
     while changed:
         changed = False
-        for a in range(0, len(frame), 1024):
-            near = units[a : a + 1024] @ units.T >= threshold
+        for a in range(0, len(frame), step):
+            near = units[a : a + step] @ units.T >= threshold
             near[np.arange(len(near)), a + np.arange(len(near))] = False
             if across:
-                near &= block[a : a + 1024, None] != block[None, :]
+                near &= block[a : a + step, None] != block[None, :]
             if not counted:
-                links[a : a + 1024] = (near & (member[a : a + 1024] @ member.T == 0)) @ n
-            low = np.minimum(np.where(near, label[None, :], len(frame)).min(axis=1), label[a : a + 1024])
-            changed |= bool((low < label[a : a + 1024]).any())
-            label[a : a + 1024] = low
+                links[a : a + step] = (near & (member[a : a + step] @ member.T == 0)) @ n
+            low = np.minimum(np.where(near, label[None, :], len(frame)).min(axis=1), label[a : a + step])
+            changed |= bool((low < label[a : a + step]).any())
+            label[a : a + step] = low
         counted = True
         label = label[label]
     return pd.DataFrame({"node": nodes, "root": nodes[label], "links": links})
