@@ -21,8 +21,10 @@ BITS = 64
 SAMPLE = 2000
 # Rows of one key compared by one task; larger keys are cut into blocks, and each pair of blocks is a task's share.
 BLOCK = 20_000
-# Relative cost of shuffling one probe and of comparing one candidate pair.
-PROBE_COST, PAIR_COST = 1.5e-6, 5e-9
+# Seconds for one probe, shuffled and sorted, and for one candidate pair, as measured.
+PROBE_COST, PAIR_COST = 1e-6, 2e-8
+# Pairs compared in one numpy step.
+TILE = 1_000_000
 
 
 def fingerprint_of(text: str, shingle: int) -> int:
@@ -150,23 +152,23 @@ def _star(fps: np.ndarray, radius: np.ndarray, threshold: int, max_bits: int) ->
     order = np.lexsort((fps, radius))
     fps, radius = fps[order], radius[order]
     label = np.arange(len(fps))
-    changed = True
+    changed, step = True, max(1, TILE // max(len(fps), 1))
     cut = np.searchsorted(radius, np.arange(threshold + 2))
     while changed:
         changed = False
-        for a in range(0, len(fps), 512):
-            mine = fps[a : a + 512]
+        for a in range(0, len(fps), step):
+            mine = fps[a : a + step]
             # radii of both ends add up to the threshold at most
             upto = cut[max(0, threshold - int(radius[a])) + 1] if threshold - int(radius[a]) >= 0 else 0
             if not upto:
                 continue
             near = np.bitwise_count(mine[:, None] ^ fps[None, :upto]) <= max_bits
-            low = np.minimum(np.where(near, label[None, :upto], len(fps)).min(axis=1), label[a : a + 512])
+            low = np.minimum(np.where(near, label[None, :upto], len(fps)).min(axis=1), label[a : a + step])
             back = np.where(near, low[:, None], len(fps)).min(axis=0)
             new = np.minimum(label[:upto], back)
-            changed |= bool((low < label[a : a + 512]).any() or (new < label[:upto]).any())
+            changed |= bool((low < label[a : a + step]).any() or (new < label[:upto]).any())
             label[:upto] = new
-            label[a : a + 512] = np.minimum(label[a : a + 512], low)
+            label[a : a + step] = np.minimum(label[a : a + step], low)
         jump = label[label]
         while (jump != label).any():
             label, jump, changed = jump, jump[jump], True
@@ -199,10 +201,13 @@ def links(fps: DataFrame, n: int, max_bits: int) -> DataFrame:
     probes = fps.select("fp").mapInArrow(probe, "part byte, key long, radius byte, fp long")
     counted = probes.groupBy("part", "key").count().filter(F.col("count") > BLOCK)
     hot = small(counted.select("part", "key", F.ceil(F.col("count") / BLOCK).cast("int").alias("_n")), "hot-keys")
-    spread = probes.join(hot, ["part", "key"], "left").withColumn("_own", F.expr("pmod(xxhash64(fp, 5), coalesce(_n, 1))"))
-    spread = spread.withColumn("_other", F.explode(F.expr("sequence(0, coalesce(_n, 1) - 1)")))
-    spread = spread.select("part", "key", F.least("_own", "_other").alias("x"), F.greatest("_own", "_other").alias("y"), "radius", "fp")
+    marked = probes.join(hot, ["part", "key"], "left")
     keys = ["part", "key", "x", "y"]
+    light = marked.filter("_n IS NULL").select("part", "key", F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), "radius", "fp")
+    heavy = marked.filter("_n IS NOT NULL").withColumn("_own", F.expr("pmod(xxhash64(fp, 5), CAST(_n AS long))"))
+    heavy = heavy.withColumn("_other", F.explode(F.expr("sequence(0L, _n - 1L)")))
+    heavy = heavy.select("part", "key", F.least("_own", "_other").alias("x"), F.greatest("_own", "_other").alias("y"), "radius", "fp")
+    spread = light.unionByName(heavy)
     sorted_ = spread.repartition(*keys).sortWithinPartitions(*keys, "radius")
     return sorted_.mapInArrow(compare, "a long, b long").distinct()
 
