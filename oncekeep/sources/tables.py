@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+from ..session import written
 
 
 def _filesystem(spark: SparkSession, path: str):
@@ -32,6 +37,33 @@ def read_ledger(spark: SparkSession, path: str, schema: str, but_not: int | str
     return rows.drop("batch", "month")
 
 
+def _with_partitions(spark: SparkSession, path: str) -> DataFrame:
+    """All batches with their partition columns, these as text so that they are written back alike."""
+    found = spark.read.parquet(path).schema
+    names = ("batch", "shop_id", "month")
+    fields = [f for f in found.fields if f.name not in names] + [StructField(n, StringType()) for n in names]
+    return spark.read.schema(StructType(fields)).parquet(path)
+
+
+def rewrite_shops(spark: SparkSession, path: str, shop_ids: list[str], change: Callable[[DataFrame], DataFrame]) -> None:
+    """Replace the rows of some shops by ``change`` of them; no other shop's files are read or written."""
+    rows = _with_partitions(spark, path).filter(F.col("shop_id").isin(shop_ids))
+    changed = written(change(rows), "rewrite")
+    changed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "shop_id", "month").parquet(path)
+
+
+def drop_shops(spark: SparkSession, path: str, shop_ids: list[str]) -> None:
+    """Delete the files of some shops from every batch."""
+    fs, where = _filesystem(spark, path)
+    escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    names = {f"shop_id={escape(s)}" for s in shop_ids}
+    for batch in fs.listStatus(where):
+        if batch.isDirectory():
+            for shop in fs.listStatus(batch.getPath()):
+                if shop.getPath().getName() in names:
+                    fs.delete(shop.getPath(), True)
+
+
 def versions(spark: SparkSession, root: str) -> list[int]:
     """Complete versions of a copy-on-write table (those with a success marker), oldest first."""
     fs, where = _filesystem(spark, root)

@@ -9,7 +9,7 @@ from ..operators import ledger as ledger_ops
 from ..operators import linkage, snapshot
 from ..operators.signals import SIGNALS, derive
 from ..session import written
-from ..sources.tables import append_ledger, read_ledger, read_table, replace_table
+from ..sources.tables import append_ledger, drop_shops, read_ledger, read_table, replace_table, rewrite_shops
 
 LEDGER_SCHEMA = (
     "record_id bigint, order_gid string, offer_id string, order_name string, code_used string, customer_gid string, "
@@ -91,12 +91,40 @@ def run_scoring(orders: DataFrame, shops: DataFrame, offers: DataFrame, ledger_p
     return orders.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
 
 
-def run_governance(events: DataFrame, tables_root: str, checkpoint: str):
-    """Start the stream of lifecycle and compliance events over copy-on-write tables.
-
-    ``events``: topic, shop_id, customer_gid, received_at. Tables under ``tables_root``: shops,
-    ledger, flags. Uninstall and reinstall stamp the shop, erasure nulls a customer's values,
-    and a shop erasure removes the shop from every table.
+def rebuild_entries(ledger_path: str, shops: DataFrame, offers: DataFrame, entries_root: str, shop_ids: list[str]) -> None:
+    """Make the snapshot entries of some shops anew from their ledger rows; the others stay (next version)."""
+    spark = shops.sparkSession
+    kept = read_table(spark, entries_root)
+    stored = read_ledger(spark, ledger_path, LEDGER_SCHEMA)
+    if kept is None or stored is None:
+        return
+    touched = F.col("shop_id").isin(shop_ids)
+    fresh = snapshot.evict(snapshot.snapshot_entries(stored.filter(touched), offers), shops)
+    replace_table(kept.filter(~touched).unionByName(fresh.select(kept.columns)), entries_root)
+
+
+def _complete(requests: DataFrame, events: DataFrame) -> DataFrame:
+    """Requests that the events carried out become completed, at the event's time."""
+    done = events.groupBy(F.col("topic").alias("_topic"), F.col("shop_id").alias("_shop"), F.col("customer_gid").alias("_who")).agg(F.max("received_at").alias("_at"))
+    same = (F.col("topic") == F.col("_topic")) & (F.col("shop_id") == F.col("_shop"))
+    # The erasure of a shop names no customer and settles all of its requests of that kind.
+    same = same & (F.col("customer_gid").eqNullSafe(F.col("_who")) | (F.col("topic") == "shop/redact"))
+    due = F.col("_at").isNotNull() & (F.col("status") != "completed")
+    out = requests.join(done, same, "left").withColumn("completed_at", F.when(due, F.col("_at")).otherwise(F.col("completed_at")))
+    return out.withColumn("status", F.when(due, "completed").otherwise(F.col("status"))).select(requests.columns).distinct()
+
+
+def run_governance(
+    events: DataFrame, tables_root: str, checkpoint: str, live: dict[str, str] | None = None, offers: DataFrame | None = None, entries_root: str | None = None
+):
+    """Start the stream of lifecycle and compliance events.
+
+    ``events``: topic, shop_id, customer_gid, received_at. Copy-on-write tables under
+    ``tables_root``: shops, and where they exist ledger, flags, jobs and requests. ``live`` names
+    the paths ``ledger`` and ``flags`` that scoring appends to. Uninstall and reinstall stamp the
+    shop and uninstall cancels its pending jobs; erasure nulls a customer's values; a shop erasure
+    removes the shop from every table; both rebuild the snapshot entries of the shops they touch,
+    and complete their requests. In live tables only files of touched shops are written.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
@@ -104,18 +132,36 @@ def run_governance(events: DataFrame, tables_root: str, checkpoint: str):
         stored = written(batch, "governance")
         # One read tells which tables the batch touches, so the others are not rewritten.
         topics = {r.topic for r in stored.select("topic").distinct().collect()}
-        tables = {name: read_table(spark, f"{tables_root}/{name}") for name in ("shops", "ledger", "flags")}
+        found = {name: read_table(spark, f"{tables_root}/{name}") for name in ("shops", "ledger", "flags", "jobs", "requests")}
+        tables = {name: df for name, df in found.items() if df is not None}
         changed = set()
         if topics & {"app/uninstalled", "app/installed"}:
             tables["shops"] = ledger_ops.apply_shop_events(tables["shops"], stored)
             changed.add("shops")
-        if "customers/redact" in topics:
-            tables["ledger"] = ledger_ops.redact(tables["ledger"], stored, ledger_ops.PERSONAL)
-            tables["flags"] = ledger_ops.redact(tables["flags"], stored, ["customer_gid"], "order_gid")
-            changed |= {"ledger", "flags"}
-        if "shop/redact" in topics:
-            tables = ledger_ops.purge_shops(tables, stored.filter(F.col("topic") == "shop/redact"))
-            changed |= set(tables)
+            if "jobs" in tables and "app/uninstalled" in topics:
+                tables["jobs"] = ledger_ops.cancel_pending(tables["jobs"], tables["shops"])
+                changed.add("jobs")
+        # The shops that a compliance batch names are few.
+        shops_of = lambda topic: [r.shop_id for r in stored.filter(F.col("topic") == topic).select("shop_id").distinct().collect()] if topic in topics else []
+        erased, purged = shops_of("customers/redact"), shops_of("shop/redact")
+        for name, columns, row_id in (("ledger", ledger_ops.PERSONAL, "record_id"), ("flags", ["customer_gid"], "order_gid")):
+            clear = lambda rows, columns=columns, row_id=row_id: ledger_ops.redact(rows, stored, columns, row_id)
+            if erased and name in tables:
+                tables[name] = clear(tables[name])
+                changed.add(name)
+            if live and erased:
+                rewrite_shops(spark, live[name], erased, clear)
+            if live and purged:
+                drop_shops(spark, live[name], purged)
+        if "requests" in tables and (erased or purged):
+            tables["requests"] = _complete(tables["requests"], stored)
+            changed.add("requests")
+        if purged:
+            kept = [name for name in tables if name != "requests"]
+            tables |= ledger_ops.purge_shops({name: tables[name] for name in kept}, stored.filter(F.col("topic") == "shop/redact"))
+            changed |= set(kept)
+        if live and entries_root and (erased or purged):
+            rebuild_entries(live["ledger"], tables["shops"], offers, entries_root, sorted({*erased, *purged}))
         for name in sorted(changed):
             replace_table(tables[name], f"{tables_root}/{name}")
 

@@ -114,3 +114,43 @@ def test_governance_stream(spark, folder):
     assert cleared.email_hash is None and cleared.billing_full_hash is None and cleared.address_sketch is None
     stamped = tables.read_table(spark, f"{folder}/shops").filter("shop_id = 'shop_2'").first()
     assert stamped.uninstalled_at is not None and stamped.salt_hex
+
+
+def test_erasure_reaches_what_scoring_wrote(spark, folder):
+    shops, offers = fx.shops(spark, SF), fx.offers(spark, SF)
+    orders = fx.orders(spark, SF).filter(F.col("record_id") < 600)
+    paths = {name: f"{folder}/{name}" for name in ("ledger", "flags")}
+    entries = f"{folder}/entries"
+    new = jobs.score_batch(orders, 0, shops, offers, paths["ledger"], paths["flags"])
+    jobs.update_snapshots(new, shops, offers, entries)
+    before = {r.record_id: r for r in tables.read_ledger(spark, paths["ledger"], jobs.LEDGER_SCHEMA).collect()}
+    held = {r.record_id for r in tables.read_table(spark, entries).collect()}
+    one = next(r for r in before.values() if r.shop_id == "shop_1" and r.customer_gid and r.email_hash and r.record_id in held)
+    tables.replace_table(shops, f"{folder}/tables/shops")
+    tables.replace_table(fx.jobs(spark, SF).limit(500), f"{folder}/tables/jobs")
+    asked = [("r1", "shop_1", "customers/redact", one.customer_gid, "pending"), ("r2", "shop_1", "customers/redact", "someone else", "pending"), ("r3", "shop_3", "shop/redact", None, "pending")]
+    requests = spark.createDataFrame(asked, "request_id string, shop_id string, topic string, customer_gid string, status string")
+    tables.replace_table(requests.withColumn("completed_at", F.lit(None).cast("timestamp")), f"{folder}/tables/requests")
+    rows = [("customers/redact", "shop_1", one.customer_gid, 1), ("app/uninstalled", "shop_2", None, 2), ("shop/redact", "shop_3", None, 3)]
+    events = spark.createDataFrame(rows, "topic string, shop_id string, customer_gid string, t long").withColumn("received_at", F.timestamp_seconds("t")).drop("t")
+    events.coalesce(1).write.parquet(f"{folder}/events")
+    stream = spark.readStream.schema(events.schema).parquet(f"{folder}/events")
+    jobs.run_governance(stream, f"{folder}/tables", f"{folder}/cp", paths, offers, entries).trigger(availableNow=True).start().awaitTermination()
+
+    after = {r.record_id: r for r in tables.read_ledger(spark, paths["ledger"], jobs.LEDGER_SCHEMA).collect()}
+    gone = {i for i, r in before.items() if r.shop_id == "shop_1" and r.customer_gid == one.customer_gid}
+    assert set(after) == {i for i, r in before.items() if r.shop_id != "shop_3"}
+    for i, r in after.items():
+        assert (r.email_hash is None and r.customer_gid is None and r.email_ciphertext is None and r.address_sketch is None) if i in gone else r == before[i]
+    flags = spark.read.parquet(paths["flags"]).collect()
+    assert all(r.shop_id != "shop_3" and not (r.shop_id == "shop_1" and r.customer_gid == one.customer_gid) for r in flags)
+    left = tables.read_table(spark, entries).collect()
+    assert not gone & {r.record_id for r in left} and all(r.shop_id != "shop_3" for r in left)
+    # Checkout no longer knows the customer's values unless another customer shares them.
+    shared = {r.email_hash for i, r in after.items() if r.email_hash}
+    buckets = snapshot.buckets(tables.read_table(spark, entries)).filter("shop_id = 'shop_1'").collect()
+    assert one.email_hash in shared or all(f"{one.email_hash:08x}" not in b.email_hashes for b in buckets)
+    status = {r.request_id: r.status for r in tables.read_table(spark, f"{folder}/tables/requests").collect()}
+    assert status == {"r1": "completed", "r2": "pending", "r3": "completed"}
+    work = tables.read_table(spark, f"{folder}/tables/jobs").collect()
+    assert all(r.shop_id != "shop_3" for r in work) and not any(r.shop_id == "shop_2" and r.status == "pending" for r in work)
