@@ -22,3 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def text_of(column: str = "text") -> Column:
     """The text, a null one as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def numbered(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with a number for each row in ``column``, written once.
+
+    Numbers follow the splits of a scan, and those follow the cores registered at that moment; so a
+    number holds from one scan to the next only where it is stored with its row.
+    """
+    return written(df.withColumn(column, F.monotonically_increasing_id()), "numbered")

@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
-from .winnow import CHUNK, Windows, byte_values, covered_runs, covered_units
+from .common import numbered
+from .winnow import CHUNK, Windows, byte_values, covered_runs, covered_units, rows_of
 
 WINDOW = 100
 GRAM = 24
@@ -161,8 +161,8 @@ def repeated_windows(contents: list[bytes], groups: np.ndarray, counts: np.ndarr
     return flags
 
 
-def repeated_bytes(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(row, runs) of the windows of ``window`` bytes that start earlier too, for ``winnow.numbered`` rows."""
+def repeated_bytes(rows: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(row, runs) of the windows of ``window`` bytes that start earlier too, for ``winnow.rows_of`` a stored table."""
     shape = Windows(window, min(GRAM, window))
 
     def units(text: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -178,7 +178,7 @@ def repeated_bytes(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def repeated(contents: list[bytes], groups: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
         return repeated_windows(contents, groups, counts, window)
 
-    return covered_runs(docs, shape, units, cut, repeated, keep_first=True, shard_bytes=SHARD_BYTES)
+    return covered_runs(rows, shape, units, cut, repeated, keep_first=True, shard_bytes=SHARD_BYTES)
 
 
 def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -187,14 +187,15 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     Earlier means a smaller doc_id, or an earlier place in the document; rows with one id are
     taken in the order of the table, so of repeated rows one keeps its text, and null ids come
     first. The first copy of a string stays; windows are judged on the input and may overlap.
-    ``kept`` is binary, as a cut may fall into a character. ``docs`` must be a stored table.
+    ``kept`` is binary, as a cut may fall into a character. ``docs`` is numbered and written once.
     A null or empty text has no bytes. Other columns of ``docs`` are left out. An empty table
     gives an empty result.
 
     Each shard holds the passages of whole anchors (see ``winnow``): every pair of equal windows
     meets in one shard, and their array tells which of them start earlier.
     """
-    runs = repeated_bytes(docs, window)
+    rows = rows_of(numbered(docs.select("doc_id", "text"), "row"), "row")
+    runs = repeated_bytes(rows, window)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,6 +210,5 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             columns = [batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), text_of().alias("text"))
     joined = rows.join(runs, "row", "left").select("doc_id", "text", "runs")
     return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

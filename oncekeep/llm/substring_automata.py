@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
-from .winnow import CHUNK, Rolling, Windows, byte_values, covered_runs, covered_units, mix
+from .common import numbered, text_of
+from .winnow import CHUNK, Rolling, Windows, byte_values, covered_runs, covered_units, mix, rows_of
 
 WINDOW = 35
 GRAM = 8
@@ -133,8 +133,8 @@ def repeated_windows(contents: list[bytes], groups: np.ndarray, counts: np.ndarr
     return flags
 
 
-def repeated_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(row, runs) of the windows of ``window`` words that stand anywhere else, for ``winnow.numbered`` rows."""
+def repeated_words(rows: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(row, runs) of the windows of ``window`` words that stand anywhere else, for ``winnow.rows_of`` a stored table."""
     shape = Windows(window, min(GRAM, window))
 
     def units(text: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -149,7 +149,7 @@ def repeated_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def repeated(contents: list[bytes], groups: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
         return repeated_windows(contents, groups, counts, window)
 
-    return covered_runs(docs, shape, units, cut, repeated, keep_first=False, shard_bytes=SHARD_BYTES)
+    return covered_runs(rows, shape, units, cut, repeated, keep_first=False, shard_bytes=SHARD_BYTES)
 
 
 def remove_repeated_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -158,7 +158,7 @@ def remove_repeated_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame
     Adds n_words and n_removed. Every copy of a passage goes, the first too, in the same document
     as in others; windows are judged on the input. Words are runs without ASCII white space and
     stay as they are; the white space before a removed word goes with it, unless the text begins
-    with the word. ``docs`` must be a stored table.
+    with the word. ``docs`` is numbered and written once.
 
     A null or empty text has no words and comes back as it was. Repeated rows are copies of each
     other. Ids are only carried along and may be null. Columns named n_words or n_removed are
@@ -169,7 +169,8 @@ def remove_repeated_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame
     anchor (see ``winnow``); other shards cannot hold its windows.
     """
     docs = docs.drop("n_words", "n_removed")
-    runs = repeated_words(docs.select("doc_id", "text"), window)
+    rows = numbered(docs, "__row")
+    runs = repeated_words(rows_of(rows, "__row"), window)
     names, kinds = docs.columns, dict(docs.dtypes)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,8 +191,7 @@ def remove_repeated_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame
 
     import pyarrow.compute  # noqa: F401
 
-    rows = docs.withColumns({"__row": F.monotonically_increasing_id(), "__body": text_of()})
-    joined = rows.join(runs.select(F.col("row").alias("__row"), F.col("runs").alias("__runs")), "__row", "left").drop("__row")
+    joined = rows.withColumn("__body", text_of()).join(runs.select(F.col("row").alias("__row"), F.col("runs").alias("__runs")), "__row", "left").drop("__row")
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", n_words long, n_removed long"
     return joined.mapInArrow(cut, schema)
 

@@ -124,9 +124,9 @@ RUN_COLUMNS = ["kind", "anchor", "context", "doc_id", "row", "run"]
 RUN_SCHEMA = "kind byte, anchor long, context long, doc_id long, row long, run long"
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, text); ``docs`` must be a stored table, so that every scan numbers its rows alike."""
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), text_of().alias("text"))
+def rows_of(docs: DataFrame, number: str) -> DataFrame:
+    """(row, doc_id, text) of a stored table whose column ``number`` names each row."""
+    return docs.select(F.col(number).alias("row"), F.col("doc_id").cast("long"), text_of().alias("text"))
 
 
 def _batch(columns: list[np.ndarray], ids: pa.Array) -> pa.RecordBatch:
@@ -293,9 +293,8 @@ def _whole_anchors(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Itera
         yield pa.concat_tables(held).combine_chunks()
 
 
-def covered_runs(docs: DataFrame, windows: Windows, units: Callable, cut: Callable, repeated: Callable, keep_first: bool, shard_bytes: int) -> DataFrame:
-    """(row, runs): for each row of ``numbered(docs)`` with repeated windows, its covered runs of windows."""
-    rows = numbered(docs)
+def covered_runs(rows: DataFrame, windows: Windows, units: Callable, cut: Callable, repeated: Callable, keep_first: bool, shard_bytes: int) -> DataFrame:
+    """(row, runs): for each of the stored ``rows_of`` a table with repeated windows, its covered runs of windows."""
     found = written(match_runs(collect_runs(rows, windows, units, keep_first), keep_first), "runs")
     wanted = contents(found.filter(F.col("kind") == ASK), rows, cut)
     more = by_shard(wanted, repeated, shard_bytes)
