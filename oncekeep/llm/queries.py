@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, packing, quality, rp_forest, sentence_pieces, sharding, simhash, substring_arrays, substring_automata, url_filter
+from . import collocations, language, packing, quality, rp_forest, sentence_pieces, sharding, simhash, spelling
+from . import substring_arrays, substring_automata, token_counts, url_filter
 from .common import SPACE, table
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -62,6 +63,18 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_quality_rules": op2_quality_rules,
@@ -73,4 +86,7 @@ QUERIES = {
     "op8_url_filters": op8_url_filters,
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_phrase_collocations": op12_phrase_collocations,
+    "op13_token_counts": op13_token_counts,
 }
