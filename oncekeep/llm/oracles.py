@@ -46,22 +46,25 @@ SELECT page_id, f.host, f.path, rule, coalesce((SELECT action FROM rules r WHERE
 OP12 = r"""
 WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang,
              translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
-p AS (SELECT r, lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
-w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
-g AS (SELECT lang, m, w[i:i + m - 1] AS g FROM (
-        SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) AS t(m) WHERE len(w) >= m)),
+q AS (SELECT lang, row_number() OVER () AS q, piece FROM (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
+l AS (SELECT lang, q, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM q),
+w AS (SELECT lang, q, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM l),
+x AS (SELECT lang, w, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3, lead(w, 3) OVER o AS w4 FROM w WINDOW o AS (PARTITION BY q ORDER BY i)),
+g AS (SELECT lang, 1 AS m, w AS g FROM x UNION ALL SELECT lang, 2, w || ' ' || w2 FROM x WHERE w2 IS NOT NULL
+  UNION ALL SELECT lang, 3, w || ' ' || w2 || ' ' || w3 FROM x WHERE w3 IS NOT NULL
+  UNION ALL SELECT lang, 4, w || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM x WHERE w4 IS NOT NULL),
 f AS (SELECT lang, m, g, count(*) AS f FROM g GROUP BY ALL),
 total AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
-c AS (SELECT lang, m, g, f AS a FROM f WHERE m > 1 AND f >= 30),
+c AS (SELECT lang, m, g, string_split(g, ' ') AS w, f AS a FROM f WHERE m > 1 AND f >= 30),
 cov AS (SELECT lang, s, max(a) AS cover FROM (
-          SELECT lang, a, g[i:i + k - 1] AS s FROM (
-            SELECT lang, a, g, k, unnest(range(1, m - k + 2)) AS i FROM c, (VALUES (2), (3)) AS t(k) WHERE k < m)) GROUP BY lang, s),
+          SELECT lang, a, array_to_string(w[i:i + k - 1], ' ') AS s FROM (
+            SELECT lang, a, w, k, unnest(range(1, m - k + 2)) AS i FROM c, (VALUES (2), (3)) AS t(k) WHERE k < m)) GROUP BY lang, s),
 kept AS (SELECT c.* FROM c LEFT JOIN cov ON c.lang = cov.lang AND c.g = cov.s WHERE NOT coalesce(100 * cover::HUGEINT >= 80 * a::HUGEINT, FALSE)),
-cut AS (SELECT lang, m, g, a, unnest(range(1, m)) AS k FROM kept),
-s AS (SELECT cut.*, x.f AS l, y.f AS r, (2000000 * cut.a::HUGEINT) // (x.f::HUGEINT + y.f::HUGEINT) AS score
-      FROM cut JOIN f x ON x.lang = cut.lang AND x.g = cut.g[1:k] JOIN f y ON y.lang = cut.lang AND y.g = cut.g[k + 1:m]),
+cut AS (SELECT lang, g, a, k, array_to_string(w[1:k], ' ') AS g1, array_to_string(w[k + 1:m], ' ') AS g2 FROM (SELECT *, unnest(range(1, m)) AS k FROM kept)),
+s AS (SELECT cut.lang, cut.g, cut.a, cut.k, y.f AS l, z.f AS r, (2000000 * cut.a::HUGEINT) // (y.f::HUGEINT + z.f::HUGEINT) AS score
+      FROM cut JOIN f y ON y.lang = cut.lang AND y.g = cut.g1 JOIN f z ON z.lang = cut.lang AND z.g = cut.g2),
 low AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
-ranked AS (SELECT *, array_to_string(g, ' ') AS phrase, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank FROM low)
+ranked AS (SELECT *, g AS phrase, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank FROM low)
 SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
 """
 

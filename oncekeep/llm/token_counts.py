@@ -143,7 +143,7 @@ def frequent_lengths(docs: DataFrame, tokenizer_file: str, table: int = TABLE, s
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in best], pa.string()), pa.array([n for _, n in best], pa.int64())], names=["word", "n"])
 
     total: Counter[str] = Counter()
-    for row in sampled.mapInArrow(top, "word string, n long").toLocalIterator():
+    for row in sampled.mapInArrow(top, "word string, n long").collect():
         total[row.word] += row.n
     length = pre_tokens(tokenizer_file).length
     chosen = [(w, length(w)) for w, _ in total.most_common(table)]
