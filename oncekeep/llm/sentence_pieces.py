@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import re
+from array import array
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +18,8 @@ from .common import text_of
 MARK = "▁"
 # A marked word: its marks and what follows them. Line ends stand alone, as no piece holds one.
 MARKED = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
-# Words and piece pairs that one Python worker remembers.
-MEMO = 400_000
+# Words, parts of words and piece pairs that one Python worker remembers, each.
+MEMO = 300_000
 # Characters of text whose new words are sorted into one trie.
 TRIE_CHARS = 4_000_000
 # What an unknown character costs below the worst piece, in a unigram model. Fixed value.
@@ -47,8 +50,23 @@ class Pieces:
                 self.shown.append(piece.replace(MARK, " ").encode())
         self.unknown = model.unk_id()
         self.longest = max(map(len, self.ids), default=1)
+        tails: dict[str, set[int]] = {}
+        for piece in self.ids:
+            if len(piece) > 1:
+                tails.setdefault(piece[-3:], set()).add(len(piece))
+        # Lengths of the pieces that end with the last three characters, longest first; or with the last two.
+        self.lengths = {t: sorted(found | ({2} if t[-2:] in self.ids else set()), reverse=True) for t, found in tails.items()}
+        self.inside = {pair for piece in self.ids for pair in zip(piece, piece[1:], strict=False)}
         self.least = min(self.scores.values(), default=0.0)
 
+    def parts(self, word: str) -> list[str]:
+        """The word cut between two characters that stand next to each other in no piece: none can cross there."""
+        inside = self.inside
+        cuts = [i for i, pair in enumerate(zip(word, word[1:], strict=False), 1) if pair not in inside]
+        if not cuts:
+            return [word]
+        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)]
+
     def ids_of(self, piece: str) -> list[int]:
         """The piece's id; of an unknown character its bytes."""
         found = self.ids.get(piece)
@@ -142,7 +160,7 @@ class SharedPrefixViterbi:
 
     def segment(self, words: list[str]) -> Iterator[tuple[str, list[str]]]:
         """(word, pieces) of sorted words."""
-        scores, longest = self.pieces.scores, self.pieces.longest
+        scores, longest, lengths = self.pieces.scores, self.pieces.longest, self.pieces.lengths
         begin, best, previous = [0], [0.0], ""
         worst = self.pieces.least - UNKNOWN_PENALTY
         for word in words:
@@ -155,10 +173,13 @@ class SharedPrefixViterbi:
             for end in range(shared + 1, len(word) + 1):
                 low = max(0, end - longest)
                 if self.bpe:
-                    for start in range(low, end):
-                        piece = word[start:end]
-                        if (piece in scores or start == end - 1) and self._fits(word[begin[start] : start], piece):
+                    tail = word[end - 3 : end] if end > 3 else word[:end]
+                    for n in lengths.get(tail) or lengths.get(tail[-2:], ()):
+                        start = end - n
+                        if start >= 0 and (piece := word[start:end]) in scores and self._fits(word[begin[start] : start], piece):
                             break
+                    else:
+                        start = end - 1
                     begin.append(start)
                 else:
                     top, at = -np.inf, end - 1
@@ -177,28 +198,49 @@ class SharedPrefixViterbi:
             previous = word
 
 
-def batch_encoder(model_file: str, kind: str = "bpe") -> Callable[[list[str]], list[np.ndarray]]:
-    """texts -> ids. Distinct new words of the texts are sorted and segmented together; known ones are looked up."""
-    pieces = Pieces(model_file)
-    viterbi = SharedPrefixViterbi(pieces, kind)
-    memo: dict[str, bytes] = {}
-
-    def encode(texts: list[str]) -> list[np.ndarray]:
-        marked = [MARKED.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = {w for words in marked for w in words if w not in memo}
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            new = {w for words in marked for w in words}
-        for word, parts in viterbi.segment(sorted(new)):
-            memo[word] = np.array([i for p in parts for i in pieces.ids_of(p)], dtype="<i4").tobytes()
-        out = [np.frombuffer(b"".join(map(memo.__getitem__, words)), dtype="<i4") for words in marked]
-        if len(memo) > MEMO:
-            memo.clear()
-        return out
+class BatchEncoder:
+    """texts -> ids. Known words are looked up; the distinct new parts of the others are sorted and segmented together."""
 
-    return encode
+    def __init__(self, model_file: str, kind: str) -> None:
+        self.pieces = Pieces(model_file)
+        self.viterbi = SharedPrefixViterbi(self.pieces, kind)
+        self.words: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        # Millions of short lists without a ring among them: the collector would only walk them again and again.
+        running = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if running:
+                gc.enable()
 
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        marked = [MARKED.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        words, known, ids_of = self.words, self.known, self.pieces.ids_of
+        new = {w for found in marked for w in found if w not in words}
+        if len(words) + len(new) > MEMO:
+            words.clear()
+            new = {w for found in marked for w in found}
+        if len(known) > MEMO:
+            known.clear()
+        cut = {w: self.pieces.parts(w) for w in new}
+        for part, pieces in self.viterbi.segment(sorted({p for parts in cut.values() for p in parts if p not in known})):
+            known[part] = array("i", [i for p in pieces for i in ids_of(p)]).tobytes()
+        for word, parts in cut.items():
+            words[word] = known[parts[0]] if len(parts) == 1 else b"".join(map(known.__getitem__, parts))
+        return [np.frombuffer(b"".join(map(words.__getitem__, found)), dtype="<i4") for found in marked]
+
+
+@lru_cache(maxsize=4)
+def batch_encoder(model_file: str, kind: str = "bpe") -> BatchEncoder:
+    """The worker's encoder for a file; it outlives a task, and so do the words it knows."""
+    return BatchEncoder(model_file, kind)
+
+
+@lru_cache(maxsize=4)
 def decoder(model_file: str) -> Callable[[np.ndarray], str]:
     """ids -> text: pieces joined, bytes put together, marks as spaces, the added first mark dropped."""
     shown = Pieces(model_file).shown
