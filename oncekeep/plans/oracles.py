@@ -257,16 +257,15 @@ ORACLES: dict[str, str] = {
   SELECT offer_id, record_id, pos, 'phone' AS signal, phone_hash AS hash FROM rec UNION ALL SELECT offer_id, record_id, pos, 'email', email_hash FROM rec
   UNION ALL SELECT offer_id, record_id, pos, 'address', address_full_hash FROM rec UNION ALL SELECT offer_id, record_id, pos, 'address', billing_full_hash FROM rec
   UNION ALL SELECT offer_id, record_id, pos, 'ip', ip_hash FROM rec) WHERE hash IS NOT NULL)
-SELECT offer_id, record_id, signal, hash, group_size, first_prior_id FROM (SELECT *, count(*) OVER w AS group_size,
-  first_value(record_id) OVER (PARTITION BY offer_id, signal, hash ORDER BY pos) AS first_prior_id, min(pos) OVER w AS first_pos
-  FROM facet WINDOW w AS (PARTITION BY offer_id, signal, hash)) WHERE pos > first_pos""",
+SELECT offer_id, record_id, signal, hash, n_prior, first_prior_id FROM (SELECT *, row_number() OVER w - 1 AS n_prior,
+  first_value(record_id) OVER w AS first_prior_id FROM facet WINDOW w AS (PARTITION BY offer_id, signal, hash ORDER BY pos)) WHERE n_prior > 0""",
     "recent_candidates": f"""{BASE}, r AS (SELECT offer_id, record_id, row_number() OVER (PARTITION BY offer_id ORDER BY created_at, record_id) AS pos FROM src WHERE p <> '5')
 SELECT x.offer_id, x.record_id, x.pos, least(x.pos - 1, 10000) AS n_recent, y.record_id AS oldest_id
 FROM r x LEFT JOIN r y ON x.offer_id = y.offer_id AND x.pos > 1 AND y.pos = x.pos - least(x.pos - 1, 10000)""",
     "fuzzy_best": f"{_linked(False)} SELECT offer_id, record_id, score, facts FROM best",
     "score_orders_hot": f"{_LINKED} SELECT offer_id, record_id, score, facts FROM best",
     "score_orders": f"{_LINKED} SELECT offer_id, record_id, score, facts FROM best",
-    "match_attribution": f"""{_LINKED}, w AS (SELECT offer_id, pos, facts, min(prior) AS prior FROM top GROUP BY ALL)
+    "match_attribution": f"""{_LINKED}, w AS (SELECT DISTINCT offer_id, pos, prior FROM top)
 SELECT x.offer_id, x.record_id, array_to_string(list_sort(list_distinct(list(y.record_id))), ',') AS matched_ids
 FROM w JOIN rec x ON x.offer_id = w.offer_id AND x.pos = w.pos JOIN rec y ON y.offer_id = w.offer_id AND y.pos = w.prior GROUP BY 1, 2""",
     "flagged_orders": f"{_LINKED} SELECT shop_id, order_gid, offer_id, customer_gid, CASE WHEN score >= 10 THEN 'HIGH' ELSE 'MEDIUM' END AS risk_level, score, facts FROM best WHERE score >= 4",

@@ -133,9 +133,16 @@ def score_orders_hot(spark, d):
     return got.select("offer_id", "record_id", F.col("score").cast("long").alias("score"), _text("facts").alias("facts"))
 
 
+def _attributed(spark, d, **limits) -> tuple[DataFrame, DataFrame]:
+    placed = linkage.place_records(_matched(spark, d), derive=_with_signals(spark, d))
+    return placed, linkage.best_of(placed, **limits)
+
+
 @query
 def match_attribution(spark, d):
-    got = linkage.attribution(_scored(spark, d))
+    """All earlier records behind each score."""
+    placed, scored = _attributed(spark, d)
+    got = linkage.attribution(placed, scored)
     return got.select("offer_id", "record_id", _text(F.transform("matched_ids", lambda x: x.cast("string"))).alias("matched_ids"))
 
 

@@ -59,7 +59,7 @@ def score_batch(batch: DataFrame, batch_id: int, shops: DataFrame, offers: DataF
         rows = prior.select(*_MATCH, F.lit(False).alias("is_new")).unionByName(rows)
     # Earlier means arrived earlier: whatever their times, ledger rows come before the batch.
     scored = linkage.best_matches(rows, order=("is_new", "created_at", "record_id")).join(new.select("offer_id", "record_id", "shop_id", "order_gid", "order_name", "customer_gid", "created_at"), ["offer_id", "record_id"])
-    flags = linkage.flagged_orders(scored).drop("first_match", "pos").withColumns(
+    flags = linkage.flagged_orders(scored).drop("masks", "pos").withColumns(
         {"merchant_action": F.lit("pending"), "merchant_action_at": F.lit(None).cast("timestamp")}
     )
     append_ledger(flags, flags_path, batch_id)
