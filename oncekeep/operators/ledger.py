@@ -217,19 +217,41 @@ def export_envelopes(lines: DataFrame, now: str) -> DataFrame:
 
 
 def change_offers(offers: DataFrame, changes: DataFrame) -> DataFrame:
-    """Apply the latest change (status, mode or archived_at; null leaves a field alone) to each offer."""
-    last = last_by(changes, ["offer_id"], "changed_at")
-    new = last.select("offer_id", *[F.col(c).alias(f"_{c}") for c in ("status", "mode", "archived_at")])
+    """Apply to each offer the last change of each field: status, mode and archiving.
+
+    A null leaves a field alone. ``archived_at`` archives an offer; where ``changes`` has a column
+    ``archived``, false takes an offer out of the archive and true archives it at the given time.
+    """
+    flag = F.col("archived") if "archived" in changes.columns else F.lit(None).cast("boolean")
+    stamp = F.when(F.coalesce(flag, F.lit(True)), F.col("archived_at"))
+    said = F.col("archived_at").isNotNull() | flag.isNotNull()
+    last = lambda value, given: F.max_by(value, F.when(given, F.col("changed_at")))
+    new = changes.groupBy("offer_id").agg(
+        *[last(F.col(c), F.col(c).isNotNull()).alias(f"_{c}") for c in ("status", "mode")],
+        last(F.struct(stamp.alias("at")), said).alias("_archived"),
+    )
     out = offers.join(new, "offer_id", "left")
-    return out.withColumns({c: F.coalesce(f"_{c}", c) for c in ("status", "mode", "archived_at")}).select(offers.columns)
+    archived = F.when(F.col("_archived").isNotNull(), F.col("_archived.at")).otherwise(F.col("archived_at"))
+    return out.withColumns({c: F.coalesce(f"_{c}", c) for c in ("status", "mode")}).withColumn("archived_at", archived).select(offers.columns)
 
 
 def apply_shop_events(shops: DataFrame, events: DataFrame) -> DataFrame:
-    """Uninstall stamps a shop; reinstall clears the stamp and keeps salt and key."""
-    last = last_by(events.filter(F.col("topic").isin("app/uninstalled", "app/installed")), ["shop_id"], "received_at")
-    out = shops.join(last.select("shop_id", F.col("topic").alias("_t"), F.col("received_at").alias("_at")), "shop_id", "left")
-    stamp = F.when(F.col("_t") == "app/uninstalled", F.col("_at")).when(F.col("_t").isNull(), F.col("uninstalled_at"))
-    return out.withColumn("uninstalled_at", stamp).select(shops.columns)
+    """Uninstall stamps a shop; reinstall clears the stamp and keeps salt and key.
+
+    The last event wins over all batches: ``lifecycle_at`` and ``lifecycle_id`` keep the time and id
+    of the event applied last, and one that comes late, after a newer one, changes nothing. Events
+    without a column ``event_id`` are told apart by topic. Both columns are added where missing.
+    """
+    register = {"lifecycle_at": "timestamp", "lifecycle_id": "string"}
+    shops = shops.withColumns({c: F.lit(None).cast(t) for c, t in register.items() if c not in shops.columns})
+    known = F.col("event_id").cast("string") if "event_id" in events.columns else F.col("topic")
+    wanted = events.filter(F.col("topic").isin("app/uninstalled", "app/installed")).withColumn("_id", known)
+    last = last_by(wanted, ["shop_id"], "received_at", "_id")
+    out = shops.join(last.select("shop_id", F.col("topic").alias("_t"), F.col("received_at").alias("_at"), "_id"), "shop_id", "left")
+    newer = F.col("lifecycle_at").isNull() | (F.struct("_at", "_id") > F.struct(F.col("lifecycle_at"), F.coalesce("lifecycle_id", F.lit(""))))
+    applies = F.col("_t").isNotNull() & newer
+    new = {"uninstalled_at": F.when(F.col("_t") == "app/uninstalled", F.col("_at")), "lifecycle_at": F.col("_at"), "lifecycle_id": F.col("_id")}
+    return out.withColumns({c: F.when(applies, v).otherwise(F.col(c)) for c, v in new.items()}).select(shops.columns)
 
 
 def cancel_pending(jobs: DataFrame, shops: DataFrame) -> DataFrame:

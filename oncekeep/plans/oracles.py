@@ -306,8 +306,10 @@ FROM reqs r LEFT JOIN items i ON r.shop_id = i.shop_id AND r.customer_gid = i.cu
     "uninstall_shops": f"""{_with(MERCHANTS)}, last AS (SELECT user_id, arg_max(event_type, ts) AS t, max(ts) AS seen FROM events WHERE event_type IN ('error', 'signup') GROUP BY 1)
 SELECT shop_id, epoch_us(CASE WHEN t IS NULL THEN uninstalled_at WHEN t = 'error' THEN seen END) AS uninstalled_at FROM merchants LEFT JOIN last ON user_id = shop_id""",
     "cancel_pending": f"{_with(JOBS)} SELECT shop_id, CASE WHEN status = 'pending' AND shop_id = 'shop_4' THEN 'cancelled' ELSE status END AS status, count(*) AS n, count(completed_at) AS completed FROM jobs GROUP BY ALL",
-    "change_offers": f"""{_REPORT}, last AS (SELECT offer_id, k FROM (SELECT *, row_number() OVER (PARTITION BY offer_id ORDER BY created_at DESC, k DESC) AS r FROM src) WHERE r = 1)
-SELECT offer_id, CASE WHEN k % 2 = 0 THEN 'inactive' ELSE status END AS status, CASE WHEN k % 3 = 0 THEN 'watch' ELSE mode END AS mode, archived_at IS NOT NULL AS archived FROM offers LEFT JOIN last USING (offer_id)""",
+    "change_offers": f"""{_REPORT}, ranked AS (SELECT offer_id, k, row_number() OVER (PARTITION BY offer_id ORDER BY created_at DESC, k DESC) AS r FROM src),
+last AS (SELECT offer_id, bool_or(k % 2 = 0) AS s, bool_or(k % 3 = 0) AS m, arg_min(k % 7, r) FILTER (k % 7 < 2) AS a FROM ranked GROUP BY 1)
+SELECT offer_id, CASE WHEN s THEN 'inactive' ELSE status END AS status, CASE WHEN m THEN 'watch' ELSE mode END AS mode,
+  CASE WHEN a IS NULL THEN archived_at IS NOT NULL ELSE a = 0 END AS archived FROM offers LEFT JOIN last USING (offer_id)""",
     "redeemer_tags": f"""{BASE}, {REQUESTS} SELECT DISTINCT shop_id, customer_gid FROM src WHERE customer_gid IS NOT NULL
 AND NOT EXISTS (SELECT 1 FROM reqs r WHERE r.topic = 'customers/redact' AND r.shop_id = src.shop_id AND r.customer_gid = src.customer_gid)""",
     "snapshot_evict": f"{_kept()} SELECT shop_id, record_id, rank, bytes FROM kept",

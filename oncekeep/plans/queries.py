@@ -324,11 +324,12 @@ def cancel_pending(spark, d):
 
 @query
 def change_offers(spark, d):
-    """Each order is a change of its offer; the latest one decides."""
+    """Each order is a change of its offer, to some fields; the latest one of each field decides."""
     k = F.col("record_id")
     changes = fx.redemptions(spark, d).select(
         "offer_id", F.when(k % 2 == 0, "inactive").alias("status"), F.when(k % 3 == 0, "watch").alias("mode"),
-        F.lit(None).cast("timestamp").alias("archived_at"), F.struct("created_at", "record_id").alias("changed_at"),
+        F.when(k % 7 == 0, F.col("created_at")).alias("archived_at"), F.when(k % 7 == 0, True).when(k % 7 == 1, False).alias("archived"),
+        F.struct("created_at", "record_id").alias("changed_at"),
     )
     return ops.change_offers(fx.offers(spark, d), changes).select("offer_id", "status", "mode", F.col("archived_at").isNotNull().alias("archived"))
 

@@ -9,7 +9,8 @@ from ..operators import ledger as ledger_ops
 from ..operators import linkage, snapshot
 from ..operators.signals import SIGNALS, derive
 from ..session import written
-from ..sources.tables import append_ledger, drop_shops, read_ledger, read_table, replace_table, rewrite_shops
+from ..operators.skew import BROADCAST_ROWS
+from ..sources.tables import append_ledger, drop_shops, put_shops, read_ledger, read_shops, read_table, replace_table, rewrite_shops
 
 LEDGER_SCHEMA = (
     "record_id bigint, order_gid string, offer_id string, order_name string, code_used string, customer_gid string, "
@@ -18,6 +19,10 @@ LEDGER_SCHEMA = (
     "address_house_hash bigint, billing_full_hash bigint, ip_hash bigint, email_sketch array<bigint>, "
     "address_sketch array<bigint>, shop_id string"
 )
+ENTRIES_SCHEMA = (
+    "shop_id string, offer_id string, mode string, record_id bigint, ts bigint, phone string, email string, addr_full string, "
+    "addr_house string, ip string, device string, email_sketch string, addr_sketch string, rank int, bytes bigint"
+)
 _MATCH = ["offer_id", "record_id", "created_at", "ip_tag", *SIGNALS]
 
 
@@ -43,19 +48,20 @@ def rolling_counts(records: DataFrame, lateness: str = "1 hour", width: str = "1
 def score_batch(batch: DataFrame, batch_id: int, shops: DataFrame, offers: DataFrame, ledger_path: str, flags_path: str) -> DataFrame:
     """Score one micro-batch of orders against the ledger and the earlier rows of the batch, then append.
 
-    The ledger is the only state. Only ledger rows of the batch's offers are read for matching, and
-    a repeated batch first leaves its own earlier output out, so it writes the same rows again.
-    Returns the new ledger rows.
+    The ledger is the only state. It is read once a batch: the folders of the batch's shops, and of
+    these the rows of its offers. A repeated batch leaves its own earlier output out, so it writes
+    the same rows again. Returns the new ledger rows.
     """
     spark = batch.sparkSession
-    matched = ledger_ops.first_by(linkage.match_codes(batch, offers), ledger_ops.UNIQUE, "created_at", "record_id")
-    stored = read_ledger(spark, ledger_path, LEDGER_SCHEMA, but_not=batch_id)
+    matched = written(ledger_ops.first_by(linkage.match_codes(batch, offers), ledger_ops.UNIQUE, "created_at", "record_id"), "matched")
+    used = matched.select("shop_id", "offer_id").distinct()
+    stored = read_ledger(spark, ledger_path, LEDGER_SCHEMA, batch_id, shops_in(used))
     if stored is not None:
-        matched = ledger_ops.not_in_ledger(matched, stored)
+        prior = written(stored.join(F.broadcast(used.select("offer_id")) if used.count() <= BROADCAST_ROWS else used.select("offer_id"), "offer_id", "left_semi"), "prior")
+        matched = ledger_ops.not_in_ledger(matched, prior)
     new = written(ledger_ops.seal(derive(matched, shops), shops), "batch")
     rows = new.select(*_MATCH, F.lit(True).alias("is_new"))
     if stored is not None:
-        prior = stored.join(new.select("offer_id").distinct(), "offer_id", "left_semi")
         rows = prior.select(*_MATCH, F.lit(False).alias("is_new")).unionByName(rows)
     # Earlier means arrived earlier: whatever their times, ledger rows come before the batch.
     scored = linkage.best_matches(rows, order=("is_new", "created_at", "record_id")).join(new.select("offer_id", "record_id", "shop_id", "order_gid", "order_name", "customer_gid", "created_at"), ["offer_id", "record_id"])
@@ -67,17 +73,27 @@ def score_batch(batch: DataFrame, batch_id: int, shops: DataFrame, offers: DataF
     return new
 
 
+def shops_in(rows: DataFrame) -> list[str]:
+    """The shops of a micro-batch; no more than its rows, which the stream's trigger bounds."""
+    return [r.shop_id for r in rows.select("shop_id").distinct().collect()]
+
+
 def update_snapshots(new: DataFrame, shops: DataFrame, offers: DataFrame, entries_root: str) -> None:
-    """Add new ledger rows to the kept snapshot entries of their shops (single writer, next version)."""
+    """Add new ledger rows to the kept snapshot entries of their shops; other shops are neither read nor written.
+
+    A batch whose entries are all known already writes nothing. Single writer.
+    """
+    touched = shops_in(new)
     fresh = snapshot.snapshot_entries(new, offers)
-    kept = read_table(new.sparkSession, entries_root)
-    if kept is None:
-        result = snapshot.evict(fresh, shops)
-    else:
+    kept = read_shops(new.sparkSession, entries_root, ENTRIES_SCHEMA, touched)
+    if kept is not None:
         # A repeated batch must not count twice.
-        again = fresh.join(kept.select("shop_id", "offer_id", "record_id"), ["shop_id", "offer_id", "record_id"], "left_anti")
-        result = snapshot.append(kept.select(fresh.columns), again, shops)
-    replace_table(result, entries_root)
+        fresh = fresh.join(kept.select("shop_id", "offer_id", "record_id"), ["shop_id", "offer_id", "record_id"], "left_anti")
+    fresh = written(fresh, "entries")
+    if fresh.isEmpty():
+        return
+    result = snapshot.evict(fresh, shops) if kept is None else snapshot.append(kept.select(fresh.columns), fresh, shops)
+    put_shops(written(result, "entries"), new, entries_root)
 
 
 def run_scoring(orders: DataFrame, shops: DataFrame, offers: DataFrame, ledger_path: str, flags_path: str, checkpoint: str, entries_root: str | None = None):
@@ -92,26 +108,25 @@ def run_scoring(orders: DataFrame, shops: DataFrame, offers: DataFrame, ledger_p
 
 
 def rebuild_entries(ledger_path: str, shops: DataFrame, offers: DataFrame, entries_root: str, shop_ids: list[str]) -> None:
-    """Make the snapshot entries of some shops anew from their ledger rows; the others stay (next version)."""
+    """Make the snapshot entries of some shops anew from their ledger rows; no other shop is read or written."""
     spark = shops.sparkSession
-    kept = read_table(spark, entries_root)
-    stored = read_ledger(spark, ledger_path, LEDGER_SCHEMA)
-    if kept is None or stored is None:
+    stored = read_ledger(spark, ledger_path, LEDGER_SCHEMA, shop_ids=shop_ids)
+    if stored is None or read_shops(spark, entries_root, ENTRIES_SCHEMA) is None:
         return
-    touched = F.col("shop_id").isin(shop_ids)
-    fresh = snapshot.evict(snapshot.snapshot_entries(stored.filter(touched), offers), shops)
-    replace_table(kept.filter(~touched).unionByName(fresh.select(kept.columns)), entries_root)
+    fresh = snapshot.evict(snapshot.snapshot_entries(stored, offers), shops)
+    put_shops(written(fresh, "entries"), spark.createDataFrame([(s,) for s in shop_ids], "shop_id string"), entries_root)
 
 
 def _complete(requests: DataFrame, events: DataFrame) -> DataFrame:
     """Requests that the events carried out become completed, at the event's time."""
-    done = events.groupBy(F.col("topic").alias("_topic"), F.col("shop_id").alias("_shop"), F.col("customer_gid").alias("_who")).agg(F.max("received_at").alias("_at"))
-    same = (F.col("topic") == F.col("_topic")) & (F.col("shop_id") == F.col("_shop"))
     # The erasure of a shop names no customer and settles all of its requests of that kind.
-    same = same & (F.col("customer_gid").eqNullSafe(F.col("_who")) | (F.col("topic") == "shop/redact"))
+    whole = F.col("topic") == "shop/redact"
+    who = F.when(whole, F.lit("")).otherwise(F.coalesce(F.concat(F.lit("c:"), "customer_gid"), F.lit(""))).alias("_who")
+    done = events.groupBy("topic", "shop_id", who).agg(F.max("received_at").alias("_at"))
+    out = requests.withColumn("_who", who).join(done, ["topic", "shop_id", "_who"], "left")
     due = F.col("_at").isNotNull() & (F.col("status") != "completed")
-    out = requests.join(done, same, "left").withColumn("completed_at", F.when(due, F.col("_at")).otherwise(F.col("completed_at")))
-    return out.withColumn("status", F.when(due, "completed").otherwise(F.col("status"))).select(requests.columns).distinct()
+    out = out.withColumn("completed_at", F.when(due, F.col("_at")).otherwise(F.col("completed_at")))
+    return out.withColumn("status", F.when(due, "completed").otherwise(F.col("status"))).select(requests.columns)
 
 
 def run_governance(

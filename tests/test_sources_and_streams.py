@@ -85,13 +85,16 @@ def test_scoring_stream_equals_batch_replay(spark, folder):
     got = spark.read.parquet(f"{folder}/flags")
     got = {(int(r.order_gid.split("/")[1]), r.score, tuple(r.facts)) for r in got.collect()}
     assert ledger.count() == linkage.match_codes(orders, offers).count() and got == want
-    kept = tables.read_table(spark, f"{folder}/entries")
+    kept = tables.read_shops(spark, f"{folder}/entries")
     whole = snapshot.evict(snapshot.snapshot_entries(ledger, offers), shops)
     key = lambda df: {(r.shop_id, r.record_id, r.bytes) for r in df.collect()}
     assert key(kept) == key(whole)
     # a repeated batch changes nothing
     last = ordered.filter(F.col("part") == 3).drop("part")
-    jobs.score_batch(last, 2, shops, offers, f"{folder}/ledger", f"{folder}/flags")
+    before = key(kept), tables.versions(spark, f"{folder}/entries/manifest")
+    new = jobs.score_batch(last, 2, shops, offers, f"{folder}/ledger", f"{folder}/flags")
+    jobs.update_snapshots(new, shops, offers, f"{folder}/entries")
+    assert (key(tables.read_shops(spark, f"{folder}/entries")), tables.versions(spark, f"{folder}/entries/manifest")) == before
     again = spark.read.parquet(f"{folder}/flags")
     assert {(int(r.order_gid.split("/")[1]), r.score, tuple(r.facts)) for r in again.collect()} == want
 
@@ -124,7 +127,7 @@ def test_erasure_reaches_what_scoring_wrote(spark, folder):
     new = jobs.score_batch(orders, 0, shops, offers, paths["ledger"], paths["flags"])
     jobs.update_snapshots(new, shops, offers, entries)
     before = {r.record_id: r for r in tables.read_ledger(spark, paths["ledger"], jobs.LEDGER_SCHEMA).collect()}
-    held = {r.record_id for r in tables.read_table(spark, entries).collect()}
+    held = {r.record_id for r in tables.read_shops(spark, entries).collect()}
     one = next(r for r in before.values() if r.shop_id == "shop_1" and r.customer_gid and r.email_hash and r.record_id in held)
     tables.replace_table(shops, f"{folder}/tables/shops")
     tables.replace_table(fx.jobs(spark, SF).limit(500), f"{folder}/tables/jobs")
@@ -144,13 +147,37 @@ def test_erasure_reaches_what_scoring_wrote(spark, folder):
         assert (r.email_hash is None and r.customer_gid is None and r.email_ciphertext is None and r.address_sketch is None) if i in gone else r == before[i]
     flags = spark.read.parquet(paths["flags"]).collect()
     assert all(r.shop_id != "shop_3" and not (r.shop_id == "shop_1" and r.customer_gid == one.customer_gid) for r in flags)
-    left = tables.read_table(spark, entries).collect()
+    left = tables.read_shops(spark, entries).collect()
     assert not gone & {r.record_id for r in left} and all(r.shop_id != "shop_3" for r in left)
     # Checkout no longer knows the customer's values unless another customer shares them.
     shared = {r.email_hash for i, r in after.items() if r.email_hash}
-    buckets = snapshot.buckets(tables.read_table(spark, entries)).filter("shop_id = 'shop_1'").collect()
+    buckets = snapshot.buckets(tables.read_shops(spark, entries)).filter("shop_id = 'shop_1'").collect()
     assert one.email_hash in shared or all(f"{one.email_hash:08x}" not in b.email_hashes for b in buckets)
     status = {r.request_id: r.status for r in tables.read_table(spark, f"{folder}/tables/requests").collect()}
     assert status == {"r1": "completed", "r2": "pending", "r3": "completed"}
     work = tables.read_table(spark, f"{folder}/tables/jobs").collect()
     assert all(r.shop_id != "shop_3" for r in work) and not any(r.shop_id == "shop_2" and r.status == "pending" for r in work)
+
+
+def test_batch_reads_and_writes_its_shops_only(spark, folder):
+    shops, offers = fx.shops(spark, SF), fx.offers(spark, SF)
+    orders = fx.orders(spark, SF)
+    paths = f"{folder}/ledger", f"{folder}/flags", f"{folder}/entries"
+    new = jobs.score_batch(orders.filter("record_id < 900"), 0, shops, offers, *paths[:2])
+    jobs.update_snapshots(new, shops, offers, paths[2])
+    one = orders.filter("record_id >= 900 and shop_id = 'shop_1'")
+    stored = tables.read_ledger(spark, paths[0], jobs.LEDGER_SCHEMA, 1, jobs.shops_in(one))
+    assert all("shop_id=shop_1/" in f for f in stored.select(F.input_file_name().alias("f")).distinct().toPandas()["f"])
+    new = jobs.score_batch(one, 1, shops, offers, *paths[:2])
+    jobs.update_snapshots(new, shops, offers, paths[2])
+    second = spark.read.parquet(f"{folder}/entries/data/gen=2")
+    assert [r.shop_id for r in second.select("shop_id").distinct().collect()] == ["shop_1"]
+    whole = snapshot.evict(snapshot.snapshot_entries(tables.read_ledger(spark, paths[0], jobs.LEDGER_SCHEMA), offers), shops)
+    key = lambda df: {(r.shop_id, r.record_id, r.bytes) for r in df.collect()}
+    assert key(tables.read_shops(spark, paths[2])) == key(whole)
+    # scoring goes on over a merged ledger, with the same flags
+    flags = spark.read.parquet(paths[1]).filter("batch = 1").count()
+    tables.merge_ledger(spark, paths[0], jobs.LEDGER_SCHEMA)
+    again = jobs.score_batch(one, 1, shops, offers, *paths[:2])
+    assert again.count() == new.count() and spark.read.parquet(paths[1]).filter("batch = 1").count() == flags
+    assert key(snapshot.evict(snapshot.snapshot_entries(tables.read_ledger(spark, paths[0], jobs.LEDGER_SCHEMA), offers), shops)) == key(whole)
