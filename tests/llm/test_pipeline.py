@@ -7,11 +7,10 @@ import pytest
 
 import __spark_entry__ as entry_point
 import corpus_pipeline
-from oncekeep.llm import pipeline
 
 from .helpers import DOCS, awkward_docs, components
+from .test_near_copies import plain_set
 from .test_quality import plain_measures
-from .test_simhash import plain_fingerprint
 from .test_substrings import plain_words
 
 SF = "/root/testdata/sf0.001"
@@ -52,12 +51,13 @@ def test_language_stage_keeps_clean_text(stages):
 
 
 def test_near_copy_stage(stages):
+    """One document of each group that five-word Jaccard similarities of 0.8 and more connect, by brute force."""
     rows = sorted((r.doc_id, r.text) for r in stages["simhash_dedup"].collect())
-    fps = [plain_fingerprint(t, 5) for _, t in rows]
-    root = components(len(rows), [(a, b) for a in range(len(rows)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= pipeline.hamming_radius(0.8)])
-    kept = {r.doc_id for r in stages["substring_dedup"].collect()}
-    place = {d: i for i, (d, _) in enumerate(rows)}
-    assert Counter(root[place[d]] for d in kept) == Counter(set(root))
+    sets = [plain_set(text) for _, text in rows]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    root = components(len(rows), links)
+    place = {doc_id: i for i, (doc_id, _) in enumerate(rows)}
+    assert links and Counter(root[place[r.doc_id]] for r in stages["substring_dedup"].collect()) == Counter(set(root))
 
 
 def test_passage_stage(stages):
