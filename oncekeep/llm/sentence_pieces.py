@@ -19,9 +19,9 @@ MARK = "▁"
 # A marked word: its marks and what follows them. Line ends stand alone, as no piece holds one.
 MARKED = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 # Words, parts of words and piece pairs that one Python worker remembers, each.
-MEMO = 300_000
+MEMO = 200_000
 # Characters of text whose new words are sorted into one trie.
-TRIE_CHARS = 4_000_000
+TRIE_CHARS = 2_000_000
 # What an unknown character costs below the worst piece, in a unigram model. Fixed value.
 UNKNOWN_PENALTY = 10.0
 
@@ -252,6 +252,24 @@ def decoder(model_file: str) -> Callable[[np.ndarray], str]:
     return decode
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], encode: BatchEncoder) -> Iterator[tuple[pa.RecordBatch, list[str], list[np.ndarray]]]:
+    """(rows, texts, ids) for stretches of rows (the last column the text) of about ``TRIE_CHARS`` characters."""
+    for batch in batches:
+        column, a = batch.column(batch.num_columns - 1), 0
+        while a < batch.num_rows:
+            b, size, texts = a, 0, []
+            while b < batch.num_rows and size < TRIE_CHARS:
+                texts.append(column[b].as_py() or "")
+                size += len(texts[-1])
+                b += 1
+            yield batch.slice(a, b - a), texts, encode(texts)
+            a = b
+
+
+def _lists(ids: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]).astype(np.int32)), pa.array(np.concatenate(ids)))
+
+
 def encode_documents(docs: DataFrame, model_file: str, kind: str = "bpe") -> DataFrame:
     """``docs`` (its last column the text) with the text replaced by ``ids``; nothing is shuffled.
 
@@ -259,25 +277,12 @@ def encode_documents(docs: DataFrame, model_file: str, kind: str = "bpe") -> Dat
     text is the same as a space. Long texts are segmented word by word, so their memory is that of
     the text. Repeated rows get the same ids, an empty table stays empty.
     """
-    *keys, text = docs.columns
+    *keys, _ = docs.columns
     kinds = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = batch_encoder(model_file, kind)
-        for batch in batches:
-            a = 0
-            while a < batch.num_rows:
-                b, size = a, 0
-                texts = []
-                while b < batch.num_rows and size < TRIE_CHARS:
-                    texts.append(batch.column(len(keys))[b].as_py() or "")
-                    size += len(texts[-1])
-                    b += 1
-                ids = encode(texts)
-                offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(keys))), lists], names=[*keys, "ids"])
-                a = b
+        for rows, _, ids in _encoded(batches, batch_encoder(model_file, kind)):
+            yield pa.RecordBatch.from_arrays([*rows.columns[:-1], _lists(ids)], names=[*keys, "ids"])
 
     return docs.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keys), "ids array<int>"]))
 
@@ -301,6 +306,13 @@ def encode_and_decode(docs: DataFrame, model_file: str, kind: str = "bpe") -> Da
 
     A null text counts as empty. Other columns of ``docs`` are left out.
     """
-    encoded = encode_documents(docs.select("doc_id", text_of().alias("body"), text_of().alias("text")), model_file, kind)
-    back = decode_documents(encoded, model_file)
-    return back.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", F.col("body").eqNullSafe(F.col("decoded")).alias("round_trip"))
+    named = ["doc_id", "n_ids", "ids", "round_trip"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decode = decoder(model_file)
+        for rows, texts, ids in _encoded(batches, batch_encoder(model_file, kind)):
+            back = pa.array([decode(x) == text for x, text in zip(ids, texts, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(x) for x in ids], pa.int64()), _lists(ids), back], names=named)
+
+    rows = docs.select("doc_id", text_of().alias("text"))
+    return rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_ids long, ids array<int>, round_trip boolean")
