@@ -19,9 +19,9 @@ MARK = "▁"
 # A marked word: its marks and what follows them. Line ends stand alone, as no piece holds one.
 MARKED = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 # Words, parts of words and piece pairs that one Python worker remembers, each.
-MEMO = 400_000
+MEMO = 200_000
 # Characters of text whose new words are sorted into one trie.
-TRIE_CHARS = 4_000_000
+TRIE_CHARS = 2_000_000
 # What an unknown character costs below the worst piece, in a unigram model. Fixed value.
 UNKNOWN_PENALTY = 10.0
 
