@@ -18,7 +18,7 @@ from .common import text_of
 MARK = "▁"
 # A marked word: its marks and what follows them. Line ends stand alone, as no piece holds one.
 MARKED = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
-# Words, parts of words and piece pairs that one Python worker remembers, each.
+# Words, parts of words and piece pairs that one Python worker remembers, each, in each of two generations.
 MEMO = 200_000
 # Characters of text whose new words are sorted into one trie.
 TRIE_CHARS = 2_000_000
@@ -198,14 +198,31 @@ class SharedPrefixViterbi:
             previous = word
 
 
+class Memory:
+    """Results that a worker keeps. Of a full generation only what is asked for again while the next one fills stays."""
+
+    def __init__(self) -> None:
+        self.now: dict[str, bytes] = {}
+        self.former: dict[str, bytes] = {}
+
+    def unknown(self, wanted: set[str]) -> set[str]:
+        """Those of ``wanted`` without a result; the results of the others stand in ``now``."""
+        new = wanted.difference(self.now)
+        if len(self.now) + len(new) > MEMO:
+            self.former, self.now, new = self.now, {}, wanted
+        now, former = self.now, self.former
+        again = {w for w in new if w in former}
+        now.update((w, former[w]) for w in again)
+        return new - again
+
+
 class BatchEncoder:
     """texts -> ids. Known words are looked up; the distinct new parts of the others are sorted and segmented together."""
 
     def __init__(self, model_file: str, kind: str) -> None:
         self.pieces = Pieces(model_file)
         self.viterbi = SharedPrefixViterbi(self.pieces, kind)
-        self.words: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
+        self.words, self.known = Memory(), Memory()
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         # Millions of short lists without a ring among them: the collector would only walk them again and again.
@@ -219,15 +236,11 @@ class BatchEncoder:
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         marked = [MARKED.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        words, known, ids_of = self.words, self.known, self.pieces.ids_of
-        new = {w for found in marked for w in found if w not in words}
-        if len(words) + len(new) > MEMO:
-            words.clear()
-            new = {w for found in marked for w in found}
-        if len(known) > MEMO:
-            known.clear()
-        cut = {w: self.pieces.parts(w) for w in new}
-        for part, pieces in self.viterbi.segment(sorted({p for parts in cut.values() for p in parts if p not in known})):
+        ids_of = self.pieces.ids_of
+        cut = {w: self.pieces.parts(w) for w in self.words.unknown(set().union(*marked))}
+        new = self.known.unknown({p for parts in cut.values() for p in parts})
+        words, known = self.words.now, self.known.now
+        for part, pieces in self.viterbi.segment(sorted(new)):
             known[part] = array("i", [i for p in pieces for i in ids_of(p)]).tobytes()
         for word, parts in cut.items():
             words[word] = known[parts[0]] if len(parts) == 1 else b"".join(map(known.__getitem__, parts))

@@ -60,3 +60,14 @@ def test_documents(spark, library):
 def test_decoding_of_null_ids(spark):
     rows = spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")
     assert [r.decoded for r in sp.decode_documents(rows, FILE).orderBy("doc_id").collect()] == [None, ""]
+
+
+def test_forgotten_words_come_back_the_same(library, monkeypatch):
+    """Generations far smaller than a batch, so that words are forgotten, taken over and worked out again."""
+    monkeypatch.setattr(sp, "MEMO", 40)
+    r = random.Random(5)
+    words = ["".join(r.choice("etaoin") for _ in range(r.randint(1, 6))) for _ in range(60)]
+    encode = sp.BatchEncoder(FILE, "bpe")
+    for _ in range(30):
+        texts = [" ".join(r.choices(words, k=r.randint(0, 25))) for _ in range(3)]
+        assert [x.tolist() for x in encode(texts)] == [library.encode(t) for t in texts]
