@@ -19,7 +19,7 @@ MARK = "▁"
 # A marked word: its marks and what follows them. Line ends stand alone, as no piece holds one.
 MARKED = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 # Words, parts of words and piece pairs that one Python worker remembers, each, in each of two generations.
-MEMO = 200_000
+MEMO = 300_000
 # Characters of text whose new words are sorted into one trie.
 TRIE_CHARS = 2_000_000
 # What an unknown character costs below the worst piece, in a unigram model. Fixed value.
@@ -49,6 +49,7 @@ class Pieces:
                 self.ids[piece], self.scores[piece] = i, model.get_score(i)
                 self.shown.append(piece.replace(MARK, " ").encode())
         self.unknown = model.unk_id()
+        self.packed = {piece: array("i", [i]).tobytes() for piece, i in self.ids.items()}
         self.longest = max(map(len, self.ids), default=1)
         tails: dict[str, set[int]] = {}
         for piece in self.ids:
@@ -63,16 +64,15 @@ class Pieces:
         """The word cut between two characters that stand next to each other in no piece: none can cross there."""
         inside = self.inside
         cuts = [i for i, pair in enumerate(zip(word, word[1:], strict=False), 1) if pair not in inside]
-        if not cuts:
-            return [word]
         return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)]
 
-    def ids_of(self, piece: str) -> list[int]:
-        """The piece's id; of an unknown character its bytes."""
-        found = self.ids.get(piece)
-        if found is not None:
-            return [found]
-        return [self.byte_ids.get(b, self.unknown) for b in piece.encode("utf-8", "surrogatepass")] if self.byte_ids else [self.unknown]
+    def ids_of(self, piece: str) -> bytes:
+        """The piece's id, packed; of an unknown character its bytes' ids."""
+        found = self.packed.get(piece)
+        if found is None:
+            spelt = piece.encode("utf-8", "surrogatepass") if self.byte_ids else b""
+            found = array("i", [self.byte_ids.get(b, self.unknown) for b in spelt] or [self.unknown]).tobytes()
+        return found
 
 
 class SharedPrefixViterbi:
@@ -160,7 +160,7 @@ class SharedPrefixViterbi:
 
     def segment(self, words: list[str]) -> Iterator[tuple[str, list[str]]]:
         """(word, pieces) of sorted words."""
-        scores, longest, lengths = self.pieces.scores, self.pieces.longest, self.pieces.lengths
+        scores, longest, lengths, tolerated = self.pieces.scores, self.pieces.longest, self.pieces.lengths, self.tolerated
         begin, best, previous = [0], [0.0], ""
         worst = self.pieces.least - UNKNOWN_PENALTY
         for word in words:
@@ -176,8 +176,11 @@ class SharedPrefixViterbi:
                     tail = word[end - 3 : end] if end > 3 else word[:end]
                     for n in lengths.get(tail) or lengths.get(tail[-2:], ()):
                         start = end - n
-                        if start >= 0 and (piece := word[start:end]) in scores and self._fits(word[begin[start] : start], piece):
-                            break
+                        if start >= 0 and (piece := word[start:end]) in scores:
+                            pair = (word[begin[start] : start], piece)
+                            fits = tolerated.get(pair)
+                            if fits or fits is None and self._fits(*pair):
+                                break
                     else:
                         start = end - 1
                     begin.append(start)
@@ -211,7 +214,7 @@ class Memory:
         if len(self.now) + len(new) > MEMO:
             self.former, self.now, new = self.now, {}, wanted
         now, former = self.now, self.former
-        again = {w for w in new if w in former}
+        again = former.keys() & new
         now.update((w, former[w]) for w in again)
         return new - again
 
@@ -241,7 +244,7 @@ class BatchEncoder:
         new = self.known.unknown({p for parts in cut.values() for p in parts})
         words, known = self.words.now, self.known.now
         for part, pieces in self.viterbi.segment(sorted(new)):
-            known[part] = array("i", [i for p in pieces for i in ids_of(p)]).tobytes()
+            known[part] = b"".join(map(ids_of, pieces))
         for word, parts in cut.items():
             words[word] = known[parts[0]] if len(parts) == 1 else b"".join(map(known.__getitem__, parts))
         return [np.frombuffer(b"".join(map(words.__getitem__, found)), dtype="<i4") for found in marked]
