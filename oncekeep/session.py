@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,10 @@ SETTINGS = {
 }
 
 
+# How ``written`` names a folder.
+_MADE = re.compile(r"-[0-9a-f]{32}$")
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session made elsewhere."""
     for key, value in SETTINGS.items():
@@ -54,3 +59,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = os.path.join(scratch_dir(df.sparkSession), "tables", f"{label}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(stored: DataFrame) -> None:
+    """Delete a table of ``written``, to be called once everything that reads it is stored itself.
+
+    Only folders below the scratch folder that ``written`` made are deleted; anything else raises an error.
+    """
+    spark = stored.sparkSession
+    tables = os.path.join(scratch_dir(spark), "tables")
+    folders = {os.path.dirname(path) for path in stored.inputFiles()}
+    if any(os.path.basename(os.path.dirname(f)) != "tables" or not _MADE.search(f) for f in folders):
+        raise ValueError("not a table of the scratch folder")
+    files = spark._jvm.org.apache.hadoop.fs
+    for folder in folders:
+        path = files.Path(os.path.join(tables, os.path.basename(folder)))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
