@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -40,6 +41,17 @@ def test_groups_equal_brute_force(spark, monkeypatch, listed):
     assert plain_kept(kept) == len(kept)
 
 
+def test_sketches_differ_in_no_more_bits_than_sets():
+    r = random.Random(1)
+    for n in (0, 1, 40, 500, 5000):
+        one = {r.getrandbits(64) for _ in range(n)}
+        for edits in (0, 1, n // 10, n):
+            two = set(list(one)[edits:]) | {r.getrandbits(64) for _ in range(edits)}
+            a, b = (near_copies.parity_sketch(np.array(sorted(x), dtype=np.uint64)) for x in (one, two))
+            apart = sum(int(x).bit_count() for x in (a ^ b).view(np.uint64))
+            assert apart <= len(one ^ two) and (len(one ^ two) + apart) % 2 == 0
+
+
 def test_close_fingerprints_alone_drop_nothing(spark):
     """Two texts at a similarity of about 0.65 whose fingerprints lie within the radius; both stay."""
     for seed in range(1000, 2000):
