@@ -126,24 +126,33 @@ def purge_shops(tables: dict[str, DataFrame], shops: DataFrame) -> dict[str, Dat
     return {name: df.join(gone, "shop_id", "left_anti") for name, df in tables.items()}
 
 
+def turn_salts(shops: DataFrame, new_salts: DataFrame) -> DataFrame:
+    """Shops with their new salts, versions up by one; a shop that has its new salt already stays as it is."""
+    renewed = shops.join(new_salts.select("shop_id", F.col("salt_hex").alias("_new")), "shop_id", "left")
+    turned = F.col("_new").isNotNull() & (F.col("_new") != F.col("salt_hex"))
+    return renewed.withColumns(
+        {"salt_version": F.col("salt_version") + turned.cast("int"), "salt_hex": F.coalesce("_new", "salt_hex")}
+    ).select(shops.columns)
+
+
+def rehash(ledger: DataFrame, shops: DataFrame) -> DataFrame:
+    """Hash and sketch every record again, from its envelopes, under its shop's salt."""
+    plain = unseal(ledger, shops).drop(*SIGNALS, "ip_tag")
+    # Stored values are canonical already, so no default prefix applies.
+    keys = shops.withColumn("default_prefix", F.lit(None).cast("string"))
+    return derive(plain, keys).select(ledger.columns)
+
+
 def rotate_salt(ledger: DataFrame, shops: DataFrame, new_salts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Hash and sketch every record again under its shop's new salt; versions go up by one.
 
-    Returns (ledger, shops); shops without a new salt keep their rows and their salt.
+    Returns (ledger, shops); shops without a new salt keep their rows and their salt. For a stored
+    ledger ``streaming.jobs.rotate_stored`` reads and writes the rotated shops alone.
     """
-    renewed = shops.join(new_salts.withColumnRenamed("salt_hex", "_new"), "shop_id", "left")
-    next_shops = renewed.withColumns(
-        {
-            "salt_version": F.col("salt_version") + F.col("_new").isNotNull().cast("int"),
-            "salt_hex": F.coalesce("_new", "salt_hex"),
-        }
-    ).drop("_new")
+    turned = turn_salts(shops, new_salts)
     changed = ledger.join(new_salts.select("shop_id"), "shop_id", "left_semi")
     same = ledger.join(new_salts.select("shop_id"), "shop_id", "left_anti")
-    plain = unseal(changed, shops).drop(*SIGNALS, "ip_tag")
-    # Stored values are canonical already, so no default prefix applies.
-    keys = next_shops.withColumn("default_prefix", F.lit(None).cast("string"))
-    return derive(plain, keys).select(ledger.columns).unionByName(same), next_shops
+    return rehash(changed, turned).unionByName(same), turned
 
 
 def backfill_ip(ledger: DataFrame, shops: DataFrame) -> DataFrame:

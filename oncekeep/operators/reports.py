@@ -8,8 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clip, discount_name_score, parse_facts
+from .ledger import unseal
 
 DEAD_AFTER = 5
+# Size of the stored sketches: items of a level of the latency's, log2 of the registers of the shops'.
+SKETCH_K = 400
+SKETCH_LOG = 12
 
 
 def since(now: str, **span: int) -> Column:
@@ -309,6 +313,50 @@ def latency_percentiles(deliveries: DataFrame, exact: bool = False) -> DataFrame
     return timed.groupBy("topic").agg(pick(0.5).alias("p50"), pick(0.95).alias("p95"), pick(0.99).alias("p99"))
 
 
+def latency_sketches(deliveries: DataFrame) -> DataFrame:
+    """Per hour and topic: the number of deliveries, and mergeable sketches of their latency and of the shops.
+
+    A few kilobytes an hour and topic, whatever the deliveries; ``latency_report`` merges them for
+    any range of hours. ``latency`` is null where nothing has been processed yet.
+    """
+    ms = F.when(F.col("processed_at").isNotNull(), F.unix_millis("processed_at") - F.unix_millis("received_at"))
+    return (
+        deliveries.withColumns({"hour": F.date_trunc("hour", "received_at"), "_ms": ms})
+        .groupBy("hour", "topic")
+        .agg(
+            F.count("*").alias("deliveries"), F.count("_ms").alias("processed"),
+            F.kll_sketch_agg_bigint("_ms", F.lit(SKETCH_K)).alias("latency"),
+            F.hll_sketch_agg("shop_id", F.lit(SKETCH_LOG)).alias("shops"),
+        )
+        .withColumn("latency", F.when(F.col("processed") > 0, F.col("latency")))
+    )
+
+
+def latency_report(sketches: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Per topic over the hours in [start, end): deliveries, distinct shops, and P50, P95, P99 of the latency in milliseconds.
+
+    Reads the stored sketches alone. The rank of a percentile is off by less than one hundredth
+    (99 times in 100), the number of shops by about two hundredths; few values are exact.
+    """
+    wanted = sketches if start is None else sketches.filter(F.col("hour") >= F.to_timestamp(F.lit(start)))
+    wanted = wanted if end is None else wanted.filter(F.col("hour") < F.to_timestamp(F.lit(end)))
+    merged = wanted.groupBy("topic").agg(
+        F.sum("deliveries").alias("deliveries"), F.sum("processed").alias("processed"),
+        F.kll_merge_agg_bigint("latency").alias("latency"), F.hll_sketch_estimate(F.hll_union_agg("shops")).alias("shops"),
+    )
+    at = lambda p: F.when(F.col("processed") > 0, F.kll_sketch_get_quantile_bigint("latency", F.lit(p)))
+    return merged.select("topic", "deliveries", "processed", "shops", at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"), "latency")
+
+
+def opened_redemptions(ledger: DataFrame, shops: DataFrame, limit: int = 100, offer_id: str | None = None) -> DataFrame:
+    """Each shop's newest redemptions of a sealed ledger, personal values opened.
+
+    The newest are chosen by keys and times alone; only rows that are listed are decrypted.
+    """
+    wanted = ledger if offer_id is None else ledger.filter(F.col("offer_id") == offer_id)
+    return unseal(_first_per_shop(wanted, [F.col("created_at").desc(), F.col("record_id").desc()], limit), shops)
+
+
 def setup_status(shops: DataFrame, offers: DataFrame, ledger: DataFrame) -> DataFrame:
     every = F.lit(True)
     joined = _with_counts(shops.select("shop_id"), "shop_id", _counts(offers, ["shop_id"], _o=every), _counts(ledger, ["shop_id"], _r=every))

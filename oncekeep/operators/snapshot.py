@@ -51,10 +51,15 @@ def snapshot_entries(ledger: DataFrame, offers: DataFrame) -> DataFrame:
     return entries.filter(F.coalesce(*_FIELDS).isNotNull())
 
 
+def _quoted(value: Column | str) -> Column:
+    """A JSON string, escaped, or ``null``."""
+    listed = F.to_json(F.array(value), {"ignoreNullFields": "false"})
+    return F.substring(listed, F.lit(2), F.length(listed) - F.lit(2))
+
+
 def _frame_bytes(shops: DataFrame) -> DataFrame:
     """Bytes of a shop's document without any bucket."""
-    empty = F.concat(F.lit(f'{{"v":{VERSION},"salt_hex":"'), F.col("salt_hex"), F.lit('","default_country_cc":'),
-                     F.coalesce(F.concat(F.lit('"'), "default_prefix", F.lit('"')), F.lit("null")), F.lit(',"offers":{}}'))
+    empty = F.concat(F.lit(f'{{"v":{VERSION},"salt_hex":'), _quoted("salt_hex"), F.lit(',"default_country_cc":'), _quoted("default_prefix"), F.lit(',"offers":{}}'))
     return shops.select("shop_id", F.octet_length(empty).alias("_frame"))
 
 
@@ -71,13 +76,13 @@ def evict(entries: DataFrame, shops: DataFrame, max_bytes: int = MAX_BYTES) -> D
     so_far = newest.rowsBetween(Window.unboundedPreceding, 0)
     in_offer = Window.partitionBy("shop_id", "offer_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     keys = '"{}":[]'
-    overhead = len('"":{"mode":"","entry_ts":[],') + len(",".join(keys.format(n) for n in ARRAYS)) + len("}")
+    overhead = len(':{"mode":"","entry_ts":[],') + len(",".join(keys.format(n) for n in ARRAYS)) + len("}")
     # An item costs its text and a comma; the first item of an array and the first bucket have no comma.
     item = lambda c, quotes: F.octet_length(F.col(c).cast("string")) + quotes + 1
     first = lambda c: (F.count(c).over(in_offer) == 1) & F.col(c).isNotNull()
     values = [F.coalesce(item(c, 2), F.lit(0)) - first(c).cast("int") for c in _FIELDS]
     times = item("ts", 0) - first("ts").cast("int")
-    bucket = F.when(first("ts"), F.octet_length("offer_id") + F.octet_length("mode") + overhead + 1).otherwise(0)
+    bucket = F.when(first("ts"), F.octet_length(_quoted("offer_id")) + F.octet_length("mode") + overhead + 1).otherwise(0)
     sized = few.withColumn("_cost", reduce(add, [*values, times, bucket]))
     total = F.col("_frame") - 1 + F.sum("_cost").over(so_far)
     summed = sized.join(_frame_bytes(shops), "shop_id").withColumn("bytes", total)
@@ -98,15 +103,15 @@ def buckets(entries: DataFrame) -> DataFrame:
 def documents(offer_buckets: DataFrame, shops: DataFrame) -> DataFrame:
     """One JSON document per shop, with its stats."""
     names = ["mode", "entry_ts", *ARRAYS]
-    bucket = F.concat(F.lit('"'), "offer_id", F.lit('":'), F.to_json(F.struct(*names)))
+    bucket = F.concat(_quoted("offer_id"), F.lit(":"), F.to_json(F.struct(*names)))
     per_shop = offer_buckets.groupBy("shop_id").agg(
         F.concat_ws(",", F.transform(F.sort_array(F.collect_list(F.struct("offer_id", bucket.alias("text")))), lambda x: x["text"])).alias("_offers"),
         F.sum(F.size("entry_ts")).alias("entries"),
         F.min(F.array_min("entry_ts")).alias("oldest_ts"),
         F.max(F.array_max("entry_ts")).alias("newest_ts"),
     )
-    country = F.coalesce(F.concat(F.lit('"'), "default_prefix", F.lit('"')), F.lit("null"))
-    text = F.concat(F.lit(f'{{"v":{VERSION},"salt_hex":"'), "salt_hex", F.lit('","default_country_cc":'), country, F.lit(',"offers":{'), F.coalesce("_offers", F.lit("")), F.lit("}}"))
+    head = F.concat(F.lit(f'{{"v":{VERSION},"salt_hex":'), _quoted("salt_hex"), F.lit(',"default_country_cc":'), _quoted("default_prefix"))
+    text = F.concat(head, F.lit(',"offers":{'), F.coalesce("_offers", F.lit("")), F.lit("}}"))
     joined = shops.select("shop_id", "salt_hex", "default_prefix").join(per_shop, "shop_id", "left")
     return joined.select(
         "shop_id", text.alias("document"), F.octet_length(text).alias("bytes"),

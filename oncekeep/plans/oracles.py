@@ -191,6 +191,16 @@ bucket AS MATERIALIZED (SELECT shop_id, offer_id, min(mode) AS mode, list(ts ORD
   {', '.join(f"coalesce(list({f} ORDER BY ts, record_id) FILTER ({f} IS NOT NULL), []) AS {n}" for n, f in ARRAYS.items())} FROM kept GROUP BY ALL)"""
 
 
+def _screen(kept: str) -> str:
+    return f"""{kept}, hit AS (SELECT s.record_id, k.offer_id, max((k.phone = {_hex('s.phone_hash')})::INT) AS ph, max((k.email = {_hex('s.email_hash')})::INT) AS em,
+  max((k.addr_full = {_hex('s.address_full_hash')})::INT) AS fu, max((k.addr_house = {_hex('s.address_house_hash')})::INT) AS ho
+  FROM sig s JOIN kept k ON s.shop_id = k.shop_id GROUP BY 1, 2),
+points AS (SELECT s.record_id, b.offer_id, b.mode, (10 * coalesce(ph, 0) + 10 * coalesce(em, 0) + CASE WHEN fu = 1 THEN 10 WHEN ho = 1 THEN 8 ELSE 0 END
+  + CASE WHEN s.record_id % 50 = 0 THEN 10 ELSE 0 END)::BIGINT AS score
+  FROM sig s JOIN bucket b ON s.shop_id = b.shop_id LEFT JOIN hit ON hit.record_id = s.record_id AND hit.offer_id = b.offer_id)
+SELECT record_id AS buyer_id, offer_id, mode, score, score >= 10 AND mode = 'block' AS blocked FROM points WHERE score > 0"""
+
+
 def _quoted(col: str) -> str:
     return f"CASE WHEN len({col}) = 0 THEN '[]' ELSE '[\"' || array_to_string({col}, '\",\"') || '\"]' END"
 
@@ -252,6 +262,11 @@ ORACLES: dict[str, str] = {
     "address_trigrams": f"{BASE} SELECT record_id, array_to_string({_tri_address()}, ',') AS trigrams FROM keys",
     "fnv_lookup_hash": f"{SIG} SELECT record_id, " + ", ".join(f"{_hex(c)} AS {c}" for c in ("phone_hash", "email_hash", "address_full_hash", "address_house_hash", "billing_full_hash", "ip_hash")) + " FROM sig",
     "minhash_sketch": f"{SIG} SELECT record_id, {_list('email_sketch')} AS email_sketch, {_FIELD['addr_sketch']} AS address_sketch FROM sig",
+    "check_orders": f"""{_with(SRC)}, raw AS (SELECT *, CASE k % 10 WHEN 1 THEN 'no_order_id' WHEN 2 THEN 'wrong_type' WHEN 3 THEN 'not_json' END AS reason,
+  CASE phone_kind WHEN 0 THEN '+1 (415) 555-' || digits WHEN 1 THEN '001415555' || digits WHEN 2 THEN '0415555' || digits END AS raw_phone, {_IP} AS raw_ip FROM src)
+SELECT record_id, reason, CASE WHEN reason IS NULL THEN order_gid END AS order_gid, CASE WHEN reason IS NULL THEN raw_phone END AS phone,
+  CASE WHEN reason IS NULL THEN raw_ip END AS ip, CASE WHEN reason IS NULL THEN CASE WHEN k % 5 <> 0 THEN line1 ELSE billing1 END END AS ship1,
+  CASE WHEN reason IS NULL AND k % 5 <> 0 THEN billing1 END AS bill1, CASE WHEN reason IS NULL THEN 'WELCOME' || p END AS code, TRUE AS has_payload FROM raw""",
     "match_codes": f"{BASE} SELECT record_id, shop_id, offer_id, 'WELCOME' || p AS code_used, CASE WHEN p = '4' THEN 'watch' ELSE 'block' END AS offer_mode FROM src WHERE p <> '5'",
     "exact_candidates": f"""{REC}, facet AS (SELECT DISTINCT * FROM (
   SELECT offer_id, record_id, pos, 'phone' AS signal, phone_hash AS hash FROM rec UNION ALL SELECT offer_id, record_id, pos, 'email', email_hash FROM rec
@@ -318,13 +333,9 @@ AND NOT EXISTS (SELECT 1 FROM reqs r WHERE r.topic = 'customers/redact' AND r.sh
   FROM shops LEFT JOIN (SELECT shop_id, string_agg({_BUCKET_JSON}, ',' ORDER BY offer_id) AS body FROM bucket GROUP BY 1) USING (shop_id))
 SELECT shop_id, strlen(document)::BIGINT AS bytes, coalesce(n, 0)::BIGINT AS entries, oldest_ts, newest_ts, md5(document) AS document_md5
 FROM doc LEFT JOIN (SELECT shop_id, count(*) AS n, min(ts) AS oldest_ts, max(ts) AS newest_ts FROM kept GROUP BY 1) USING (shop_id)""",
-    "screen_buyers": f"""{_kept()}, hit AS (SELECT s.record_id, k.offer_id, max((k.phone = {_hex('s.phone_hash')})::INT) AS ph, max((k.email = {_hex('s.email_hash')})::INT) AS em,
-  max((k.addr_full = {_hex('s.address_full_hash')})::INT) AS fu, max((k.addr_house = {_hex('s.address_house_hash')})::INT) AS ho
-  FROM sig s JOIN kept k ON s.shop_id = k.shop_id GROUP BY 1, 2),
-points AS (SELECT s.record_id, b.offer_id, b.mode, (10 * coalesce(ph, 0) + 10 * coalesce(em, 0) + CASE WHEN fu = 1 THEN 10 WHEN ho = 1 THEN 8 ELSE 0 END
-  + CASE WHEN s.record_id % 50 = 0 THEN 10 ELSE 0 END)::BIGINT AS score
-  FROM sig s JOIN bucket b ON s.shop_id = b.shop_id LEFT JOIN hit ON hit.record_id = s.record_id AND hit.offer_id = b.offer_id)
-SELECT record_id AS buyer_id, offer_id, mode, score, score >= 10 AND mode = 'block' AS blocked FROM points WHERE score > 0""",
+    "screen_buyers": _screen(_kept()),
+    "screen_after_rotation": _screen(_kept().replace("md5('salt:' || shop_id) AS salt_hex", "CASE WHEN n <= 2 THEN md5('new:' || shop_id) ELSE md5('salt:' || shop_id) END AS salt_hex")),
+    "screen_after_archiving": _screen(_kept().replace("WHERE p <> '5'", "WHERE p <> '1'")),
     "offer_counts_30d": f"""{_REPORT} SELECT offer_id, shop_id, name, status, (SELECT count(*) FROM src s WHERE s.offer_id = o.offer_id AND {_MONTH}) AS redemptions,
   (SELECT count(*) FROM flags f WHERE f.offer_id = o.offer_id AND {_MONTH}) AS flagged FROM offers o WHERE archived_at IS NULL""",
     "offer_detail": f"""{_REPORT} SELECT offer_id, name, status, mode, (SELECT count(*) FROM src s WHERE s.offer_id = o.offer_id AND {_MONTH}) AS redemptions_30d,
@@ -374,6 +385,10 @@ SELECT cohort::VARCHAR AS cohort, week, count(*) AS shops, count(*) FILTER (unin
     "flag_rate_histogram": "SELECT least(f * 10 // r, 9)::BIGINT AS bin, count(*) AS shops FROM (SELECT l_suppkey, count(*) AS r, count(*) FILTER (l_returnflag = 'R') AS f FROM lineitem GROUP BY 1) GROUP BY 1",
     "latency_percentiles": f"""{_with(DELIVERIES)}, t AS (SELECT topic, epoch_ms(processed_at) - epoch_ms(received_at) AS ms FROM deliveries WHERE processed_at IS NOT NULL)
 SELECT topic, quantile_cont(ms::DOUBLE, 0.5) AS p50, quantile_cont(ms::DOUBLE, 0.95) AS p95, quantile_cont(ms::DOUBLE, 0.99) AS p99 FROM t GROUP BY 1""",
+    "latency_report": f"""{_with(DELIVERIES)} SELECT topic, count(*) AS deliveries, count(processed_at) AS processed, count(DISTINCT shop_id) AS shops, TRUE AS close
+FROM deliveries WHERE received_at >= TIMESTAMP '2024-01-05' AND received_at < TIMESTAMP '2024-01-20' GROUP BY 1""",
+    "opened_redemptions": f"""{BASE} SELECT shop_id, record_id, order_name, 'WELCOME' || p AS code_used, canonical_email AS email, canonical_phone AS phone, line1 AS address1, epoch(created_at)::BIGINT AS created_at
+FROM (SELECT *, row_number() OVER (PARTITION BY shop_id ORDER BY created_at DESC, record_id DESC) AS r FROM canon) WHERE r <= 100""",
     "setup_status": f"""{_with(MERCHANTS)} SELECT shop_id, EXISTS (SELECT 1 FROM part WHERE 3 * p_partkey = shop_id) AS has_offer, EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = shop_id) AS has_redemption FROM merchants""",
     "offers_not_enforced": "SELECT p_partkey AS offer_id FROM part WHERE p_size > 10 AND p_partkey % 2 = 1 AND p_partkey % 3 <> 0",
     "audit_search": "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20' AND user_id = 7",

@@ -9,6 +9,7 @@ from ..functions import crypto, hashing, ip, sketch, text
 from ..operators import ledger as ops
 from ..operators import linkage, reports, screening, snapshot
 from ..operators.signals import HASHES, derive
+from ..sources.orders import check_orders as checked
 from . import fixtures as fx
 
 EVENTS_NOW = "2024-01-30 12:00:00"
@@ -91,6 +92,17 @@ def minhash_sketch(spark, d):
     return got.select("record_id", _text("email_sketch").alias("email_sketch"), sketch.sketch_hex(F.col("address_sketch")).alias("address_sketch"))
 
 
+@query
+def check_orders(spark, d):
+    """Raw payloads as orders, or with the reason why not."""
+    got = checked(fx.raw_orders(spark, d))
+    sound = lambda c: F.when(F.col("reason").isNull(), F.col(c))
+    return got.select(
+        "record_id", "reason", *[sound(c).alias(n) for n, c in (("order_gid", "order_gid"), ("phone", "phone"), ("ip", "ip"), ("ship1", "address.address1"), ("bill1", "billing.address1"))],
+        F.when(F.col("reason").isNull(), F.col("codes")[1]).alias("code"), F.col("raw_payload").isNotNull().alias("has_payload"),
+    )
+
+
 # -- linkage ---------------------------------------------------------------------------------
 
 
@@ -377,6 +389,39 @@ def screen_buyers(spark, d):
     return got.select("buyer_id", "offer_id", "mode", F.col("score").cast("long").alias("score"), "blocked")
 
 
+def _screened(spark, d, stored: DataFrame, shops: DataFrame) -> DataFrame:
+    """All orders as buyers, under the shops' salts, against stored documents."""
+    buyers = derive(fx.orders(spark, d), shops).select(
+        "shop_id", F.col("record_id").alias("buyer_id"), (F.col("record_id") % 50 == 0).alias("has_tag"),
+        *[hashing.hex8(F.col(c)).alias(c) for c in ("phone_hash", "email_hash", "address_full_hash", "address_house_hash")],
+    )
+    got = screening.screen(buyers, snapshot.parse_documents(stored))
+    return got.select("buyer_id", "offer_id", "mode", F.col("score").cast("long").alias("score"), "blocked")
+
+
+@query
+def screen_after_rotation(spark, d):
+    """Shops 0 to 2 get a new salt; their snapshots are made anew from the ledger hashed again."""
+    shops = fx.shops(spark, d)
+    new = shops.filter(F.col("shop_id") <= "shop_2").select("shop_id", F.md5(F.concat(F.lit("new:"), "shop_id")).alias("salt_hex"))
+    rows, turned = ops.rotate_salt(_sealed(spark, d), shops, new)
+    return _screened(spark, d, snapshot.rebuild(rows, fx.offers(spark, d), turned), turned)
+
+
+@query
+def screen_after_archiving(spark, d):
+    """The first offer of each shop is archived, the fifth is taken out of the archive."""
+    offers = fx.offers(spark, d)
+    last = F.right("offer_id", F.lit(1))
+    changes = offers.filter(last.isin("1", "5")).select(
+        "offer_id", F.lit(None).cast("string").alias("status"), F.lit(None).cast("string").alias("mode"),
+        F.to_timestamp(F.lit(fx.NOW)).alias("archived_at"), (last == "1").alias("archived"), F.to_timestamp(F.lit(fx.NOW)).alias("changed_at"),
+    )
+    after = ops.change_offers(offers, changes)
+    records = _with_signals(spark, d)(linkage.match_codes(fx.orders(spark, d), after))
+    return _screened(spark, d, snapshot.rebuild(records, after, fx.shops(spark, d)), fx.shops(spark, d))
+
+
 # -- reports ---------------------------------------------------------------------------------
 
 
@@ -545,6 +590,27 @@ def latency_percentiles(spark, d):
     return reports.latency_percentiles(fx.deliveries(spark, d), exact=True)
 
 
+@query
+def latency_report(spark, d):
+    """Counts and distinct shops from hourly sketches, and whether each percentile's rank is within one hundredth."""
+    start, end = "2024-01-05 00:00:00", "2024-01-20 00:00:00"
+    log = fx.deliveries(spark, d)
+    told = reports.latency_report(reports.latency_sketches(log), start, end)
+    within = log.filter((F.col("received_at") >= start) & (F.col("received_at") < end) & F.col("processed_at").isNotNull())
+    ms = within.select("topic", (F.unix_millis("processed_at") - F.unix_millis("received_at")).alias("ms")).join(told.select("topic", "p50", "p95", "p99"), "topic")
+    # The rank of a value that several rows share is an interval.
+    near = lambda c, p: (F.avg((F.col("ms") < F.col(c)).cast("int")) <= p + 0.01) & (F.avg((F.col("ms") <= F.col(c)).cast("int")) >= p - 0.01)
+    ranks = ms.groupBy("topic").agg((near("p50", 0.5) & near("p95", 0.95) & near("p99", 0.99)).alias("close"))
+    return told.select("topic", "deliveries", "processed", "shops").join(ranks, "topic")
+
+
+@query
+def opened_redemptions(spark, d):
+    """Each shop's newest hundred redemptions, opened."""
+    got = reports.opened_redemptions(_sealed(spark, d), fx.shops(spark, d))
+    return got.select("shop_id", "record_id", "order_name", "code_used", "email", "phone", F.col("address.address1").alias("address1"), _seconds("created_at"))
+
+
 @query
 def setup_status(spark, d):
     """Parts as offers of the merchant with three times their number."""

@@ -226,6 +226,30 @@ def read_table(spark: SparkSession, root: str) -> DataFrame | None:
     return spark.read.parquet(f"{root}/version={known[-1]}") if known else None
 
 
+# -- orders and what was rejected --------------------------------------------------------------
+
+
+def store_checked(checked: DataFrame, path: str, batch: int | str) -> None:
+    """Write the rows of ``orders.check_orders`` in one pass: orders and rejected rows to folders of their own.
+
+    A repeated batch replaces its own files in both. Orders drop the raw payload, rejected rows keep it.
+    """
+    rejected = F.col("reason").isNotNull()
+    rows = checked.withColumns({"raw_payload": F.when(rejected, F.col("raw_payload")), "rejected": rejected})
+    place = f"{path}/batch={_batch_name(batch)}"
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("rejected").parquet(place)
+
+
+def read_checked(spark: SparkSession, path: str, schema: str, rejected: bool) -> DataFrame:
+    """Stored orders, or the rows rejected with reason and raw payload; only the folders of that kind are read.
+
+    ``schema`` is that of the checked rows.
+    """
+    kept = StructType.fromDDL(f"{schema}, batch string, rejected boolean")
+    rows = spark.read.schema(kept).option("basePath", path).parquet(f"{path}/batch=*").filter(F.col("rejected") == rejected)
+    return rows.drop("rejected", *([] if rejected else ["reason", "raw_payload"]))
+
+
 def write_snapshot(documents: DataFrame, path: str) -> None:
     """One JSON document per line, in a folder per shop."""
     documents.select("shop_id", F.col("document").alias("value")).write.mode("overwrite").partitionBy("shop_id").text(path)

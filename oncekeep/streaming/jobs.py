@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ledger as ledger_ops
@@ -10,7 +10,8 @@ from ..operators import linkage, snapshot
 from ..operators.signals import SIGNALS, derive
 from ..session import written
 from ..operators.skew import BROADCAST_ROWS
-from ..sources.tables import append_ledger, drop_shops, put_shops, read_ledger, read_shops, read_table, replace_table, rewrite_shops
+from ..sources.orders import check_orders
+from ..sources.tables import append_ledger, drop_shops, put_shops, read_ledger, read_shops, read_table, replace_table, rewrite_shops, store_checked
 
 LEDGER_SCHEMA = (
     "record_id bigint, order_gid string, offer_id string, order_name string, code_used string, customer_gid string, "
@@ -23,6 +24,7 @@ ENTRIES_SCHEMA = (
     "shop_id string, offer_id string, mode string, record_id bigint, ts bigint, phone string, email string, addr_full string, "
     "addr_house string, ip string, device string, email_sketch string, addr_sketch string, rank int, bytes bigint"
 )
+HISTORY_SCHEMA = "shop_id string, record_id bigint, created_at timestamp, payload string"
 _MATCH = ["offer_id", "record_id", "created_at", "ip_tag", *SIGNALS]
 
 
@@ -117,6 +119,57 @@ def rebuild_entries(ledger_path: str, shops: DataFrame, offers: DataFrame, entri
     put_shops(written(fresh, "entries"), spark.createDataFrame([(s,) for s in shop_ids], "shop_id string"), entries_root)
 
 
+def rotate_stored(spark: SparkSession, new_salts: DataFrame, tables_root: str, ledger_path: str, offers: DataFrame, entries_root: str) -> None:
+    """Rotate the salts of some shops and carry it through: ledger, then shop table, then snapshot entries.
+
+    Only files of these shops are read and written. A run that stopped anywhere is repeated with
+    the same ``new_salts`` (shop_id, salt_hex) and ends alike; then nothing changes any more.
+    """
+    # Whatever made the salts, a repeated task must see the same ones.
+    new_salts = written(new_salts.select("shop_id", "salt_hex"), "salts")
+    named = shops_in(new_salts)
+    turned = ledger_ops.turn_salts(read_table(spark, f"{tables_root}/shops"), new_salts)
+    rewrite_shops(spark, ledger_path, named, lambda rows: ledger_ops.rehash(rows, turned))
+    replace_table(turned, f"{tables_root}/shops")
+    rebuild_entries(ledger_path, turned, offers, entries_root, named)
+
+
+def change_stored_offers(spark: SparkSession, changes: DataFrame, tables_root: str, ledger_path: str, entries_root: str) -> None:
+    """Apply changes of status, mode and archiving to the stored offers, then rebuild the snapshot entries of their shops.
+
+    Entries of an archived offer go, those of one taken out of the archive come back from the ledger.
+    """
+    changes = written(changes, "changes")
+    before = read_table(spark, f"{tables_root}/offers")
+    touched = shops_in(before.join(changes.select("offer_id"), "offer_id", "left_semi"))
+    after = ledger_ops.change_offers(before, changes)
+    replace_table(after, f"{tables_root}/offers")
+    rebuild_entries(ledger_path, read_table(spark, f"{tables_root}/shops"), after, entries_root, touched)
+
+
+def run_backfill(spark: SparkSession, history_path: str, shops: DataFrame, offers: DataFrame, ledger_path: str, checkpoint: str, rejected_path: str, files_per_batch: int = 64):
+    """Start a backfill from files of historical orders (``HISTORY_SCHEMA``), newest files first; it ends when all are read.
+
+    Its progress is the stream's checkpoint: stopped and started again it goes on behind the last
+    batch, and a batch begun before is written again over its own rows. Each batch reads of the
+    ledger the folders of its shops and adds what they lack. All rows are also stored as checked, with the reason
+    where one is no order, under ``rejected_path``. One writer of the ledger at a time.
+    """
+    raw = spark.readStream.schema(HISTORY_SCHEMA).option("latestFirst", "true").option("maxFilesPerTrigger", files_per_batch).parquet(history_path)
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        name = f"backfill-{batch_id}"
+        checked = written(check_orders(batch, history=True), "history")
+        store_checked(checked, rejected_path, name)
+        orders = checked.filter(F.col("reason").isNull()).drop("reason", "raw_payload")
+        matched = written(ledger_ops.first_by(linkage.match_codes(orders, offers), ledger_ops.UNIQUE, "created_at", "record_id"), "matched")
+        stored = read_ledger(batch.sparkSession, ledger_path, LEDGER_SCHEMA, name, shops_in(matched))
+        new = matched if stored is None else ledger_ops.not_in_ledger(matched, stored)
+        append_ledger(ledger_ops.seal(derive(new, shops), shops), ledger_path, name)
+
+    return raw.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
 def _complete(requests: DataFrame, events: DataFrame) -> DataFrame:
     """Requests that the events carried out become completed, at the event's time."""
     # The erasure of a shop names no customer and settles all of its requests of that kind.

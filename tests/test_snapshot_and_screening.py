@@ -101,3 +101,17 @@ def test_approximate_latency_is_close_to_exact(spark):
     df = spark.range(1, 1001).select(F.lit("t").alias("topic"), F.timestamp_millis(F.lit(0)).alias("received_at"), F.timestamp_millis("id").alias("processed_at"))
     exact, rough = (reports.latency_percentiles(df, exact=e).first() for e in (True, False))
     assert all(abs(a - b) <= 1 for a, b in zip(exact[1:], rough[1:]))
+
+
+def test_ids_are_escaped_in_documents(spark):
+    odd = 'a"b\\c\né'
+    shops = spark.createDataFrame([("s", "00" * 16, 'x"')], "shop_id string, salt_hex string, default_prefix string")
+    entry = dict.fromkeys(snapshot._FIELDS) | {"phone": "0a0b0c0d"}
+    names = ", ".join(f"{n} string" for n in snapshot._FIELDS)
+    entries = spark.createDataFrame([("s", odd, "block", 1, 5, *entry.values())], f"shop_id string, offer_id string, mode string, record_id long, ts long, {names}")
+    kept = snapshot.evict(entries, shops)
+    stored = snapshot.documents(snapshot.buckets(kept), shops)
+    row = stored.first()
+    assert list(json.loads(row.document)["offers"]) == [odd] and json.loads(row.document)["default_country_cc"] == 'x"'
+    assert row.bytes == kept.first().bytes == len(row.document.encode())
+    assert [(r.offer_id, r.phone_hashes) for r in snapshot.parse_documents(stored).collect()] == [(odd, ["0a0b0c0d"])]

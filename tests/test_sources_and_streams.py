@@ -181,3 +181,91 @@ def test_batch_reads_and_writes_its_shops_only(spark, folder):
     again = jobs.score_batch(one, 1, shops, offers, *paths[:2])
     assert again.count() == new.count() and spark.read.parquet(paths[1]).filter("batch = 1").count() == flags
     assert key(snapshot.evict(snapshot.snapshot_entries(tables.read_ledger(spark, paths[0], jobs.LEDGER_SCHEMA), offers), shops)) == key(whole)
+
+
+def test_rejected_orders_keep_reason_and_payload(spark, folder):
+    rows = [('{"admin_graphql_api_id":"o1","email":"a@b.org"}', None), ("{broken", "not_json"), (None, "not_json"), ("", "not_json"), ("{}", "no_order_id"), ('{"admin_graphql_api_id":""}', "no_order_id"),
+            ('{"admin_graphql_api_id":"o2","discount_codes":true}', "wrong_type"), ('"text"', "wrong_type"), ('{"admin_graphql_api_id":"o1","email":"a@b.org"}', None)]
+    raw = spark.createDataFrame([("s", p) for p, _ in rows], "shop_id string, payload string")
+    checked = order_source.check_orders(raw)
+    assert sorted(map(repr, ((r.raw_payload, r.reason) for r in checked.collect()))) == sorted(map(repr, rows))
+    for _ in range(2):
+        tables.store_checked(checked, f"{folder}/orders", 1)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in checked.schema)
+    good, bad = (tables.read_checked(spark, f"{folder}/orders", schema, flag) for flag in (False, True))
+    assert good.count() + bad.count() == len(rows) and [r.order_gid for r in good.collect()] == ["o1", "o1"] and "raw_payload" not in good.columns
+    assert sorted(map(repr, ((r.raw_payload, r.reason) for r in bad.collect()))) == sorted(map(repr, (r for r in rows if r[1])))
+    assert order_source.check_orders(raw.filter("shop_id = 'none'"), history=True).count() == 0
+
+
+def _stored(spark, folder):
+    """Shops, offers, and a scored ledger with snapshot entries under ``folder``."""
+    shops, offers = fx.shops(spark, SF), fx.offers(spark, SF)
+    paths = {name: f"{folder}/{name}" for name in ("tables", "ledger", "flags", "entries")}
+    new = jobs.score_batch(fx.orders(spark, SF).filter("record_id < 900"), 0, shops, offers, paths["ledger"], paths["flags"])
+    jobs.update_snapshots(new, shops, offers, paths["entries"])
+    tables.replace_table(shops, f"{paths['tables']}/shops")
+    tables.replace_table(offers, f"{paths['tables']}/offers")
+    return paths
+
+
+def _documents(spark, paths):
+    shops = tables.read_table(spark, f"{paths['tables']}/shops")
+    got = snapshot.documents(snapshot.buckets(tables.read_shops(spark, paths["entries"])), shops)
+    return {r.shop_id: r.document for r in got.collect()}
+
+
+def test_rotation_reaches_the_stored_snapshot(spark, folder):
+    paths = _stored(spark, folder)
+    before = _documents(spark, paths)
+    others = {r.record_id: r for r in tables.read_ledger(spark, paths["ledger"], jobs.LEDGER_SCHEMA).filter("shop_id <> 'shop_1'").collect()}
+    new = spark.createDataFrame([("shop_1", "ab" * 16)], "shop_id string, salt_hex string")
+    for _ in range(2):
+        jobs.rotate_stored(spark, new, paths["tables"], paths["ledger"], fx.offers(spark, SF), paths["entries"])
+    shops = tables.read_table(spark, f"{paths['tables']}/shops")
+    assert {r.shop_id: r.salt_version for r in shops.collect()} == {f"shop_{i}": 2 if i == 1 else 1 for i in range(5)}
+    after = _documents(spark, paths)
+    assert {s for s in after if after[s] != before[s]} == {"shop_1"} and "abab" in after["shop_1"]
+    ledger = tables.read_ledger(spark, paths["ledger"], jobs.LEDGER_SCHEMA)
+    assert {r.record_id: r for r in ledger.filter("shop_id <> 'shop_1'").collect()} == others
+    # Hashes of the plain orders under the new salt, in the ledger and in the snapshot.
+    fresh = {r.record_id: (r.email_hash, r.address_sketch) for r in derive(fx.orders(spark, SF), shops).collect()}
+    mine = ledger.filter("shop_id = 'shop_1'").collect()
+    assert mine and all((r.email_hash, r.address_sketch) == fresh[r.record_id] for r in mine)
+    whole = snapshot.rebuild(ledger, fx.offers(spark, SF), shops)
+    assert after == {r.shop_id: r.document for r in whole.collect()}
+
+
+def test_archiving_reaches_the_stored_snapshot(spark, folder):
+    paths = _stored(spark, folder)
+    before = _documents(spark, paths)
+    fields = "offer_id string, status string, mode string, archived boolean, t long"
+    change = lambda *rows: spark.createDataFrame(list(rows), fields).withColumns({"changed_at": F.timestamp_seconds("t"), "archived_at": F.timestamp_seconds("t")})
+    for _ in range(2):
+        jobs.change_stored_offers(spark, change(("shop_1:1", None, None, True, 5)), paths["tables"], paths["ledger"], paths["entries"])
+    after = _documents(spark, paths)
+    assert '"shop_1:1"' in before["shop_1"] and '"shop_1:1"' not in after["shop_1"] and all(after[s] == before[s] for s in after if s != "shop_1")
+    jobs.change_stored_offers(spark, change(("shop_1:1", None, None, False, 6)), paths["tables"], paths["ledger"], paths["entries"])
+    assert _documents(spark, paths) == before
+
+
+def test_backfill_goes_on_where_it_stopped(spark, folder):
+    shops, offers = fx.shops(spark, SF), fx.offers(spark, SF)
+    orders = fx.orders(spark, SF).filter("record_id < 900")
+    place = lambda a: F.struct(F.col(f"{a}.address1"), F.col(f"{a}.zip"), F.col(f"{a}.country").alias("countryCodeV2"))
+    node = F.to_json(F.struct(F.col("order_gid").alias("id"), F.col("order_name").alias("name"), "email", F.col("ip").alias("clientIp"), F.col("codes").alias("discountCodes"),
+                              place("address").alias("shippingAddress"), place("billing").alias("billingAddress"), F.struct("phone").alias("customer")))
+    history = orders.select("shop_id", "record_id", "created_at", F.when(F.col("record_id") % 50 == 0, "{broken").otherwise(node).alias("payload")).cache()
+    # Half of the files, then a restart of the same checkpoint with all of them, one that repeats rows among them.
+    history.filter("record_id < 500").repartition(2).write.parquet(f"{folder}/history")
+    run = lambda: jobs.run_backfill(spark, f"{folder}/history", shops, offers, f"{folder}/ledger", f"{folder}/cp", f"{folder}/checked", files_per_batch=1).start().awaitTermination()
+    run()
+    half = {r.record_id for r in tables.read_ledger(spark, f"{folder}/ledger", jobs.LEDGER_SCHEMA).collect()}
+    history.filter("record_id >= 400").repartition(2).write.mode("append").parquet(f"{folder}/history")
+    run()
+    ledger = tables.read_ledger(spark, f"{folder}/ledger", jobs.LEDGER_SCHEMA)
+    sound = linkage.match_codes(orders.filter("record_id % 50 <> 0"), offers)
+    want = sorted(r.record_id for r in sound.select("record_id").collect())
+    assert sorted(r.record_id for r in ledger.collect()) == want and half == {i for i in want if i < 500}
+    rejected = spark.read.parquet(f"{folder}/checked").filter("rejected = 'true'")
+    assert {r.reason for r in rejected.collect()} == {"not_json"} and rejected.select("record_id").distinct().count() == history.filter("payload = '{broken'").count()
