@@ -7,9 +7,10 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.skew import BROADCAST_ROWS
+from ..operators.skew import BROADCAST_ROWS, attach
+from .common import written
 
-# Hex digits of the digest that the join runs on; the rest only confirms.
+# Hex digits of the digest that the join runs on; the whole of it only confirms.
 PREFIX_DIGITS = 8
 
 
@@ -38,7 +39,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", url:
     any rule has, each with the path prefixes of the lengths that rules have. So nothing is lost
     and a very long url makes no more rows than a short one. They meet the rules on the first
     ``PREFIX_DIGITS`` digits of a SHA-256, the full digest confirms. The rules are broadcast only
-    after they were counted. Copies of a url are collapsed first, so a hot url is one row.
+    after they were counted. Copies of a url are collapsed first, so a hot url is one row, and the
+    verdicts of hot urls are broadcast back to their pages.
 
     Null urls, urls without ``://`` and empty ones have an empty host and path and fit no rule.
     Repeated rows stay, each with the same verdict. Columns named host, path, rule or verdict in
@@ -62,24 +64,28 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", url:
         return pages.select(*own, *parts, F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
 
     labels = F.slice(F.split("host", r"\."), -F.least(F.lit(shape["labels"]), F.size(F.split("host", r"\."))), F.lit(shape["labels"]))
+    urls = written(pages.select("_url").filter("_url IS NOT NULL").groupBy("_url").agg(F.count("*").alias("_n")), "urls")
     expanded = (
-        pages.select("_url").filter("_url IS NOT NULL").distinct()
-        .select("_url", *parts)
+        urls.select("_url", "_n", *parts)
         .withColumn("_tail", labels)
         .withColumn("_host", F.explode(F.expr("transform(sequence(1, size(_tail)), i -> array_join(slice(_tail, i, size(_tail)), '.'))")))
         .withColumn("_len", F.explode(F.array(*[F.lit(n) for n in sorted(shape["lengths"])])))
         .filter(F.length("path") >= F.col("_len"))
-        .select("_url", _digest(F.concat("_host", F.substr("path", F.lit(1), F.col("_len")))).alias("_digest"))
+        .select("_url", "_n", _digest(F.concat("_host", F.substr("path", F.lit(1), F.col("_len")))).alias("_digest"))
     )
     short = F.substring("_digest", 1, PREFIX_DIGITS).alias("_short")
     table = rules.select("rule", "_action", "_digest", short)
     table = F.broadcast(table) if shape["n"] <= BROADCAST_ROWS else table
-    left, right = expanded.select("_url", "_digest", short).alias("l"), table.alias("r")
-    best = (
-        left.join(right, (F.col("l._short") == F.col("r._short")) & (F.col("l._digest") == F.col("r._digest")))
-        .groupBy("_url")
-        .agg(F.max(F.struct(F.length("rule").alias("n"), (F.col("_action") == "block").alias("b"), "rule", "_action")).alias("_best"))
+    left, right = expanded.select("_url", "_n", "_digest", short).alias("l"), table.alias("r")
+    # Digests are of one length, so one starts with the other only if they are equal. As an equality Spark
+    # would make it a second join key; so candidates meet by prefix and are confirmed then.
+    same = (F.col("l._short") == F.col("r._short")) & F.startswith(F.col("l._digest"), F.col("r._digest"))
+    best = written(
+        left.join(right, same)
+        .groupBy("_url", "_n")
+        .agg(F.max(F.struct(F.length("rule").alias("n"), (F.col("_action") == "block").alias("b"), "rule", "_action")).alias("_best")),
+        "url-rules",
     )
-    judged = pages.join(best, "_url", "left")
+    judged = attach(pages, best, ["_url"], "_n", pages.count())
     verdict = F.coalesce(F.col("_best._action"), F.lit(default)).alias("verdict")
     return judged.select(*own, *parts, F.col("_best.rule").alias("rule"), verdict)

@@ -90,3 +90,35 @@ def test_empty_tables_and_no_labels(spark):
     assert nothing.languages == []
     assert not language.identify(spark.createDataFrame([(1, "aaa", None, None, None, None)], FIELDS), nothing, ["id"]).first().kept
     assert language.identify(spark.createDataFrame([], FIELDS), model(), ["id"]).count() == 0
+
+
+def test_no_label_is_left_out(spark):
+    """Three hundred labels, one of them on half of the rows, some on two rows: each is known, told and weighed."""
+    letters = "abcdefghijklmnopqrst"
+    word = lambda i: f"{letters[i % 20]}{letters[i // 20]}{letters[(7 * i) % 20]}"
+    rows = [(i, f"{word(i % 300)} " * 12, f"l{i % 300:03d}") for i in range(600)] + [(1000 + i, "zzyx zyxx " * 9, "hot") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    few = language.training_rows(docs, "doc_id", "lang", 900).groupBy("lang").count().collect()
+    assert len(few) == 301 and all(r["count"] == 2 for r in few if r.lang != "hot")
+    model = language.fit_text_model(docs)
+    assert len(model.languages) == 301 and model.logs.size <= language.CELLS
+    none = {c: F.lit(None).cast("string") for c in ("declared", "host", "suffix", "domain")}
+    told = language.identify(docs.withColumns(none), model, ["doc_id"]).join(docs, "doc_id").select("text_lang", docs.lang.alias("truth"), "kept").collect()
+    assert len(told) == 1200 and all(r.text_lang == r.truth for r in told)
+
+
+def test_more_labels_than_the_sample(spark):
+    docs = spark.range(500).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.col("id").cast("string").alias("lang"))
+    assert 0 < language.training_rows(docs, "doc_id", "lang", 50).count() < 120
+
+
+def test_text_in_an_unknown_language_is_not_kept(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source")
+    model = language.fit_text_model(docs)
+    first = docs.filter("lang IS NOT NULL").limit(1).first()
+    strange = [(-1, "ᚠᛇᚻ᛫ᛒᛦᚦ᛫ᚠᚱᚩᚠᚢᚱ᛫ᚠᛁᚱᚪ᛫ᚷᛖᚻᚹᛦᛚᚳᚢᛗ " * 20), (-2, "ქართული ენა არის დამწერლობა და სხვა ენები " * 20), (-3, "12 34"), (-4, "x" * 3 + "qzjwvkxq vzkqjx wqxzv jkqxz " * 2000)]
+    planted = spark.createDataFrame([(i, t, first.lang, first.source) for i, t in strange], docs.schema)
+    told = {r.doc_id: r for r in language.identify(language.document_evidence(docs.unionByName(planted), "doc_id"), model, ["doc_id"]).collect()}
+    assert not any(told[i].kept or told[i].text_lang for i, _ in strange)
+    clean = docs.filter("length(text) > 200").select("doc_id").collect()
+    assert clean and all(told[r.doc_id].kept for r in clean)

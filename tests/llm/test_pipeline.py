@@ -50,6 +50,18 @@ def test_language_stage_keeps_clean_text(stages):
     assert stages["simhash_dedup"].count() == stages["language_id"].count()
 
 
+def test_language_stage_drops_what_no_known_language_explains(spark):
+    """Planted texts declare a language of the corpus and go all the same; without any label nothing is known, so nothing stays."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    like = docs.filter("lang IS NOT NULL").first()
+    texts = ["ქართული ენა არის დამწერლობა და სხვა ენები " * 20, "qzjwvkxq vzkqjx wqxzv jkqxz " * 60, "12 34 56 " * 60, None]
+    planted = spark.createDataFrame([(-i - 1, t, like.lang, like.source, 1) for i, t in enumerate(texts)], docs.schema)
+    stage = STAGES["language_id"]
+    kept = [r.doc_id for r in stage(spark, docs.unionByName(planted), SF).collect()]
+    assert sorted(kept) == sorted(r.doc_id for r in docs.filter("text IS NOT NULL AND text RLIKE '[A-Za-z]'").collect())
+    assert stage(spark, docs.withColumn("lang", docs.lang.substr(1, 0).cast("int").cast("string")), SF).count() == 0
+
+
 def test_near_copy_stage(stages):
     """One document of each group that five-word Jaccard similarities of 0.8 and more connect, by brute force."""
     rows = sorted((r.doc_id, r.text) for r in stages["simhash_dedup"].collect())
