@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +32,26 @@ WEIGHT = 5.0
 
 @dataclass(frozen=True)
 class TextModel:
-    """Log probabilities (bucket x language) of byte trigrams."""
+    """Log probabilities (bucket x language) of byte trigrams.
+
+    ``totals`` are the trigrams of each language, ``trained`` (key, trained: the label) the rows that were counted.
+    """
 
     languages: list[str]
     logs: np.ndarray
+    totals: np.ndarray | None = None
+    trained: DataFrame | None = None
+
+    def log_likelihoods(self, text: str, counted: str = "", label: str | None = None) -> np.ndarray:
+        """Of ``text`` in each language; where ``counted`` was counted under ``label``, without that."""
+        buckets = len(self.logs)
+        found = trigrams(text, buckets)
+        sums = self.logs[found].sum(axis=0, dtype=np.float64)
+        if label is not None:
+            own, i = np.bincount(trigrams(counted, buckets), minlength=buckets), self.languages.index(label)
+            left = np.maximum(np.exp(self.logs[found, i].astype(np.float64)) * self.totals[i] - own[found], 0.5)
+            sums[i] = np.log(left / max(self.totals[i] - own.sum(), 0.5 * buckets)).sum()
+        return sums
 
 
 def trigrams(text: str, buckets: int = BUCKETS) -> np.ndarray:
@@ -67,7 +83,7 @@ def fit_text_model(labelled: DataFrame, key: str = "doc_id", text: str = "text",
     that the model stays within ``CELLS``. Rows without label or text are left out.
     """
     rows = labelled.select(key, F.col(label).cast("string").alias("_label"), F.col(text).cast("string").alias("_body")).filter("_label IS NOT NULL AND _body IS NOT NULL")
-    chosen = written(training_rows(rows, key, "_label", train_rows).select("_label", "_body"), "training")
+    chosen = written(training_rows(rows, key, "_label", train_rows).select("_label", "_body", key), "training")
     languages = sorted(r["_label"] for r in chosen.select("_label").distinct().collect())
     buckets = BUCKETS
     while buckets * len(languages) > CELLS:
@@ -84,20 +100,21 @@ def fit_text_model(labelled: DataFrame, key: str = "doc_id", text: str = "text",
                 columns = [pa.array([language] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total[at])]
                 yield pa.RecordBatch.from_arrays(columns, names=["label", "bucket", "n"])
 
-    counts = written(chosen.mapInArrow(count, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")), "trigrams")
+    counts = written(chosen.select("_label", "_body").mapInArrow(count, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")), "trigrams")
     table, place = np.full((buckets, len(languages)), 0.5), {name: i for i, name in enumerate(languages)}
     for r in counts.toLocalIterator():
         table[r["bucket"], place[r["label"]]] += r["n"]
-    return TextModel(languages, np.log(table / table.sum(axis=0)).astype(np.float32))
+    totals = table.sum(axis=0)
+    return TextModel(languages, np.log(table / totals).astype(np.float32), totals, chosen.select(key, F.col("_label").alias("trained")))
 
 
-def foreign(body: str, logs: np.ndarray) -> bool:
+def foreign(body: str, model: TextModel, label: str | None = None) -> bool:
     """Whether evenly drawn trigrams explain the plain words of a text so much better than any language that none is likely."""
     plain = " ".join(PLAIN_WORD.findall(body))
-    found = trigrams(plain, len(logs)) if plain else []
-    if not len(found):
+    if not plain:
         return False
-    return -len(found) * np.log(len(logs)) - logs[found].sum(axis=0, dtype=np.float64).max() > KNOWN_ODDS * OVERLAP
+    evenly = -len(trigrams(plain)) * np.log(len(model.logs))
+    return evenly - model.log_likelihoods(plain, body, label).max() > KNOWN_ODDS * OVERLAP
 
 
 def _softmax(scores: np.ndarray) -> np.ndarray:
@@ -114,18 +131,18 @@ def _text_evidence(rows: DataFrame, model: TextModel) -> DataFrame:
 
     A text says nothing if it has no letters, or if it is ``foreign`` to the model.
     """
-    names = [c for c in rows.columns if c != "text"]
+    names = [c for c in rows.columns if c not in ("text", "trained")]
     kinds = dict(rows.dtypes)
-    buckets, languages = model.logs.shape
+    languages = len(model.languages)
+    model = replace(model, trained=None)  # tasks need the numbers alone
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values, told = np.zeros((batch.num_rows, languages)), np.zeros(batch.num_rows, dtype=bool)
-            for i, text in enumerate(batch.column("text")):
-                body = text.as_py()
-                told[i] = any(c.isalpha() for c in body) and not foreign(body, model.logs)
+            for i, (body, label) in enumerate(zip(batch.column("text").to_pylist(), batch.column("trained").to_pylist(), strict=True)):
+                told[i] = any(c.isalpha() for c in body) and not foreign(body, model, label)
                 if told[i]:
-                    values[i] = model.logs[trigrams(body, buckets)].sum(axis=0, dtype=np.float64) / OVERLAP
+                    values[i] = model.log_likelihoods(body, body, label) / OVERLAP
             columns = [*(batch.column(c) for c in names), _vectors(values), _vectors(_softmax(values)), pa.array(told)]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, "loglik", "q", "told"])
 
@@ -137,7 +154,8 @@ def identify(rows: DataFrame, model: TextModel, keys: list[str]) -> DataFrame:
     """``keys`` with text_lang, lang, confidence and kept.
 
     ``rows`` has the keys and text, declared, suffix, domain and host, each of which may be null
-    and then says nothing. With p(language) taken from the host,
+    and then says nothing. A column ``trained`` names the label under which the model counted the
+    row, which is then judged without its own trigrams. With p(language) taken from the host,
 
         p(language | all) ~ p(language | host) p(text | language) p(declared | language) p(suffix | language)
 
@@ -153,7 +171,8 @@ def identify(rows: DataFrame, model: TextModel, keys: list[str]) -> DataFrame:
     if not languages:
         return rows.select(*keys, F.lit(None).cast("string").alias("text_lang"), F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("confidence"), F.lit(False).alias("kept"))
     size = len(languages)
-    evidence = rows.select(*keys, text_of().alias("text"), "declared", "suffix", F.coalesce("domain", F.lit("")).alias("domain"), F.coalesce("host", F.lit("")).alias("host"))
+    trained = (F.col("trained") if "trained" in rows.columns else F.lit(None)).cast("string").alias("trained")
+    evidence = rows.select(*keys, text_of().alias("text"), "declared", "suffix", F.coalesce("domain", F.lit("")).alias("domain"), F.coalesce("host", F.lit("")).alias("host"), trained)
     scored = written(_text_evidence(evidence, model), "language")
     total = lambda prefix: [F.count("*").alias(f"{prefix}n"), F.array(*[F.sum(F.col("q")[i]) for i in range(size)]).alias(f"{prefix}q")]
 
