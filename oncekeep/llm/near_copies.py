@@ -24,7 +24,7 @@ from ..operators.skew import small
 from ..session import discard
 from .common import text_of, written
 from .components import connected
-from .simhash import _LOWER
+from .simhash import _LOWER, simhash_groups
 
 # Texts on which frequent shingles are told; they only move to the end of the order, no shingle is left out.
 SAMPLE = 20_000
@@ -136,10 +136,11 @@ def _verified(pairs: DataFrame, sketched: DataFrame, rows: DataFrame, shingle: i
     return links
 
 
-def later_copies(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def later_copies(rows: DataFrame, shingle: int, similarity: float, max_bits: int | None = None) -> DataFrame:
     """(id): all but the smallest id of each group of ``rows`` (id, text) linked by a Jaccard similarity of ``similarity`` or more.
 
-    ``rows`` must be a stored table. Equal sets are collapsed first. While the pairs of rows that share a prefix
+    ``rows`` must be a stored table. Equal sets are collapsed first. With ``max_bits`` the groups of fingerprints
+    that link within so many bits come next: each row meets the first of its group, verified like any pair. While the pairs of rows that share a prefix
     shingle are many, rows only meet leaders of their shingles; what these rounds link needs no
     further comparison, so a large group costs rows and not pairs. All pairs of different components
     that are left are then listed and verified, so no link is missed and none is taken unverified.
@@ -149,10 +150,16 @@ def later_copies(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
     sets = written(_prefixes(rows, shingle, bound), "prefixes")
     firsts = sets.groupBy("same").agg(F.min("id").alias("first"), F.count("*").alias("_many")).filter("_many > 1")
     equal = written(sets.select("id", "same").join(firsts, "same").filter("id != first").select("id"), "equal-sets")
-    keys = sets.join(small(equal, "equal-ids"), "id", "left_anti").select("id", "n", F.posexplode("prefix").alias("pos", "key"))
+    single = sets.join(small(equal, "equal-ids"), "id", "left_anti")
+    keys = single.select("id", "n", F.posexplode("prefix").alias("pos", "key"))
     by_key = Window.partitionBy("key")
     keys = written(keys.withColumn("_many", F.count("*").over(by_key)).filter("_many > 1").drop("_many"), "prefix-keys")
     found, parts = None, None
+    if max_bits is not None:
+        groups = simhash_groups(rows.join(single.select("id"), "id", "left_semi"), shingle, max_bits, "id")
+        near = groups.filter("id != component_id").select(F.col("component_id").alias("a"), F.col("id").alias("b"))
+        found = _verified(near, sets, rows, shingle, bound)
+        parts = written(connected(found), "parts")
     for turn in range(ROUNDS + 1):
         live = keys.withColumn("c", F.col("id"))
         if parts is not None:
@@ -180,6 +187,9 @@ def later_copies(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
         parts = written(connected(found), "parts")
         if last:
             break
-    if parts is None:
-        return equal
-    return equal.unionByName(parts.filter("node != component").select(F.col("node").alias("id")))
+    if parts is not None:
+        equal = equal.unionByName(parts.filter("node != component").select(F.col("node").alias("id")))
+    later = written(equal, "later")
+    discard(sets)
+    discard(keys)
+    return later

@@ -15,6 +15,8 @@ from .common import DOCUMENT_COLUMNS, numbered, written
 # Near copies: word shingles and their Jaccard similarity.
 SHINGLE = 5
 SIMILARITY = 0.8
+# Differing bits within which fingerprints link, as in op9.
+MAX_BITS = 2
 
 
 def hamming_radius(similarity: float, bits: int = simhash.BITS) -> int:
@@ -57,10 +59,10 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """The first document of each group of near copies.
 
     Documents link where the sets of their five-word shingles have a Jaccard similarity of 0.8 or
-    more, verified for every link. Of repeated rows one stays. Texts without words are copies of each other.
+    more, verified for every link. Fingerprint groups come first, then what the prefix filter finds beyond them. Of repeated rows one stays. Texts without words are copies of each other.
     """
     rows = _numbered(docs)
-    later = near_copies.later_copies(rows.select(F.col("_row").alias("id"), "text"), SHINGLE, SIMILARITY)
+    later = near_copies.later_copies(rows.select(F.col("_row").alias("id"), "text"), SHINGLE, SIMILARITY, MAX_BITS)
     return rows.join(small(later.withColumnRenamed("id", "_row"), "later-copies"), "_row", "left_anti").select(*DOCUMENT_COLUMNS)
 
 

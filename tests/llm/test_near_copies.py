@@ -63,3 +63,17 @@ def test_close_fingerprints_alone_drop_nothing(spark):
         raise AssertionError("no such pair")
     docs = spark.createDataFrame([(1, one, "en", "s", 1), (2, two, "en", "s", 1)], DOCS)
     assert NEAR(spark, docs, "").count() == 2
+
+
+def test_stage_groups_fingerprints_first(spark, monkeypatch):
+    found, groups = [], near_copies.simhash_groups
+
+    def watched(*args, **kwargs):
+        out = groups(*args, **kwargs)
+        found.append(out.filter("id != component_id").count())
+        return out
+
+    monkeypatch.setattr(near_copies, "simhash_groups", watched)
+    texts = [prose(k, 400) + (f" end{k}" if again else "") for k in range(6) for again in (0, 1)]
+    kept = NEAR(spark, spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS), "").count()
+    assert kept == plain_kept(texts) == 6 and len(found) == 1 and found[0] >= 4
