@@ -8,9 +8,11 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import ip
 from ..functions.hashing import hex8
 from ..functions.sketch import sketch_hex
 from .linkage import active_offers
+from .skew import small
 
 VERSION = 2
 # Fixed value: byte cap of a shop's serialised snapshot.
@@ -31,6 +33,23 @@ BUCKET = "mode string, entry_ts array<bigint>, " + ", ".join(f"{name} array<stri
 _FIELDS = list(ARRAYS.values())
 
 
+def newest_records(records: DataFrame, shops: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """The ``records`` of active offers that can reach their shop's snapshot, told before their signals are derived.
+
+    At most ``max_bytes / 11`` entries of a shop survive (see :func:`evict`). A record with a valid
+    IP of a shop with a salt is an entry for certain; one with that many of these after it is none
+    that stays. All others are kept, so also records whose entry depends on further signals.
+    """
+    most = max_bytes // 11 + 1
+    salted = shops.filter(F.unhex("salt_hex").isNotNull()).select("shop_id").distinct()
+    at = F.struct(F.unix_timestamp("created_at").alias("ts"), F.col("record_id"))
+    sure = records.filter(ip.ip_key(F.col("ip")).isNotNull()).join(salted, "shop_id", "left_semi").select("shop_id", at.alias("_at"))
+    newest = Window.partitionBy("shop_id").orderBy(F.col("_at").desc())
+    last = sure.withColumn("_rank", F.row_number().over(newest)).filter(F.col("_rank") <= most)
+    last = last.groupBy("shop_id").agg(F.min("_at").alias("_least"), F.count("*").alias("_n")).filter(F.col("_n") == most).drop("_n")
+    return records.join(small(last, "oldest-kept"), "shop_id", "left").filter(F.col("_least").isNull() | (at >= F.col("_least"))).select(records.columns)
+
+
 def snapshot_entries(ledger: DataFrame, offers: DataFrame) -> DataFrame:
     """One entry per redemption of an active offer that has any signal; absent signals are null."""
     text = lambda c: F.when(F.col(c).isNotNull(), hex8(F.col(c)))

@@ -115,3 +115,21 @@ def test_ids_are_escaped_in_documents(spark):
     assert list(json.loads(row.document)["offers"]) == [odd] and json.loads(row.document)["default_country_cc"] == 'x"'
     assert row.bytes == kept.first().bytes == len(row.document.encode())
     assert [(r.offer_id, r.phone_hashes) for r in snapshot.parse_documents(stored).collect()] == [(odd, ["0a0b0c0d"])]
+
+
+def test_newest_records_are_those_that_reach_the_snapshot(spark):
+    """Ten entries fit at most: rows without an IP do not count, and a shop with few IPs or without a salt keeps all rows."""
+    shops = spark.createDataFrame([("a", "ab" * 16), ("b", "cd" * 16), ("c", None)], "shop_id string, salt_hex string")
+    rows = [(s, i, f"10.0.{i}.1" if (i % 3 if s != "b" else i < 5) else None, 1_000_000 + i // 2) for s in "abc" for i in range(60)]
+    rows.append(("a", None, "10.0.0.1", None))
+    records = spark.createDataFrame(rows, "shop_id string, record_id long, ip string, ts long").withColumn("created_at", F.timestamp_seconds("ts"))
+    kept = {s: sorted(r.record_id for r in records_ if r.record_id is not None) for s, records_ in groups(snapshot.newest_records(records, shops, 99).collect()).items()}
+    # 59, 58, 56, ..., 46 are the ten newest with an IP.
+    assert kept == {"a": list(range(46, 60)), "b": list(range(60)), "c": list(range(60))}
+
+
+def groups(rows):
+    out = {}
+    for r in rows:
+        out.setdefault(r.shop_id, []).append(r)
+    return out
