@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import discard
 from .common import written
 
 
@@ -13,7 +14,7 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Each round links every larger neighbour of a node to its smallest one, then every smaller one
     to the smallest of those. Only grouped minima and joins on a node are used, so no neighbour
-    list is ever gathered; every round is a written table. Null ends, loops and repeated edges are
+    list is ever gathered; every round is a written table, and the one before it is discarded. Null ends, loops and repeated edges are
     ignored. An empty edge list gives an empty result.
     """
     now = written(
@@ -27,9 +28,11 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = written(large, "large-star")
+        discard(now)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
         now = written(small.unionByName(low.withColumnRenamed("m", "v")).distinct(), "small-star")
+        discard(large)
         before, mark = mark, _mark(now)
         if mark == before:
             break

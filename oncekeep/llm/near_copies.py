@@ -125,14 +125,17 @@ def _close(pairs: DataFrame, sets: DataFrame, bound: Fraction) -> DataFrame:
 
 def _verified(pairs: DataFrame, sketched: DataFrame, rows: DataFrame, shingle: int, bound: Fraction) -> DataFrame:
     """The pairs (a, b) whose sets reach the bound; ``sketched`` has the size and the sketch of every set."""
-    pairs = written(_close(written(pairs.distinct(), "candidates"), sketched, bound), "close-candidates")
+    candidates = written(pairs.distinct(), "candidates")
+    pairs = written(_close(candidates, sketched, bound), "close-candidates")
+    discard(candidates)
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     sets = written(_sets(rows.join(small(ids, "candidate-ids"), "id", "left_semi"), shingle), "shingles")
     x, y = (sets.select(F.col("id").alias(end), F.col("hashes").alias(f"h{end}")) for end in ("a", "b"))
     met = pairs.join(x, "a").join(y, "b").withColumn("_both", F.size(F.array_intersect("ha", "hb")))
     reach = F.col("_both") * bound.denominator >= (F.size("ha") + F.size("hb") - F.col("_both")) * bound.numerator
     links = written(met.filter(reach).select("a", "b"), "links")
-    discard(sets)
+    for done in (sets, pairs):
+        discard(done)
     return links
 
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.skew import small
+from ..session import FREE_SHUFFLES
 from . import language, near_copies, packing, quality, simhash, substring_automata
 from .common import DOCUMENT_COLUMNS, numbered, written
 
@@ -31,7 +33,17 @@ def _only(rows: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    return numbered(docs.select(*DOCUMENT_COLUMNS), "_row")
+    return numbered(docs, "_row", DOCUMENT_COLUMNS)
+
+
+def _freeing(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """``stage`` in a session that deletes the shuffle files of each finished query."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set(FREE_SHUFFLES, "true")
+        return stage(spark, docs, sf_dir)
+
+    return run
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,7 +83,8 @@ def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Every document stays, also one of which nothing is left: its text is then empty.
     """
-    kept = substring_automata.remove_repeated_passages(docs.select(*DOCUMENT_COLUMNS))
+    docs = docs if docs.columns == DOCUMENT_COLUMNS else docs.select(*DOCUMENT_COLUMNS)
+    kept = substring_automata.remove_repeated_passages(docs)
     changed = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return kept.withColumn("n_chars", changed).select(*DOCUMENT_COLUMNS)
 
@@ -82,11 +95,11 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 STAGES = [
-    ("quality_rules", quality_stage),
-    ("language_id", language_stage),
-    ("simhash_dedup", near_copy_stage),
-    ("substring_dedup", passage_stage),
-    ("best_fit_packing", packing_stage),
+    ("quality_rules", _freeing(quality_stage)),
+    ("language_id", _freeing(language_stage)),
+    ("simhash_dedup", _freeing(near_copy_stage)),
+    ("substring_dedup", _freeing(passage_stage)),
+    ("best_fit_packing", _freeing(packing_stage)),
 ]
 
 # Fingerprint components and tokens are beyond plain SQL; the tests hold the rows against brute force.

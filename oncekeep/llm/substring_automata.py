@@ -158,7 +158,8 @@ def remove_repeated_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame
     Adds n_words and n_removed. Every copy of a passage goes, the first too, in the same document
     as in others; windows are judged on the input. Words are runs without ASCII white space and
     stay as they are; the white space before a removed word goes with it, unless the text begins
-    with the word. ``docs`` is numbered and written once.
+    with the word. Rows that are not a plain scan are
+    written once with their numbers.
 
     A null or empty text has no words and comes back as it was. Repeated rows are copies of each
     other. Ids are only carried along and may be null. Columns named n_words or n_removed are
@@ -168,10 +169,9 @@ def remove_repeated_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame
     grows with the square of the corpus. Here a passage only meets the reference shard of its
     anchor (see ``winnow``); other shards cannot hold its windows.
     """
-    docs = docs.drop("n_words", "n_removed")
-    rows = numbered(docs, "__row")
+    names, kinds = [c for c in docs.columns if c.lower() not in ("n_words", "n_removed")], dict(docs.dtypes)
+    rows = numbered(docs, "__row", names)
     runs = repeated_words(rows_of(rows, "__row"), window)
-    names, kinds = docs.columns, dict(docs.dtypes)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
