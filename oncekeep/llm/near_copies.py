@@ -11,6 +11,7 @@ sketches differ in more than the bound allows cannot link; no other pair is left
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -29,10 +30,12 @@ from .simhash import _LOWER, simhash_groups
 # Texts on which frequent shingles are told; they only move to the end of the order, no shingle is left out.
 SAMPLE = 20_000
 COMMON = 200_000
-# Candidate pairs per row of a shared shingle up to which all are listed at once.
-LISTED = 4
-# Rounds in which rows only meet a leader of their shingle; then whatever is left is listed.
+# Pairs per row of a shared shingle up to which all of them are listed at once.
+LISTED = 8
+# Rounds in which rows of other shingles only meet a leader; then whatever is left is listed.
 ROUNDS = 8
+# Share of its pairs above which a round counts as idle: whatever is left is listed then.
+STALLED = 0.9
 # Leaders that the shingles of one round pick from one group.
 LEADERS = 4
 # Longs of a parity sketch. Sets of more than about twice its bits pass it unjudged and are compared whole.
@@ -115,6 +118,37 @@ def _possible(a: str, b: str, bound: Fraction) -> Column:
     return both * (p + q) >= F.expr(f"{p} * ({a}.n + {b}.n)")
 
 
+def _short(bound: Fraction) -> Column:
+    """Whether the shingle lies in the short prefix. Of a pair that reaches the bound the smaller set (of equal ones both) has its first common shingle there."""
+    p, q = bound.numerator, bound.denominator
+    return F.col("pos") * (p + q) <= F.col("n") * (q - p)
+
+
+def _shared(keys: DataFrame, bound: Fraction) -> DataFrame:
+    """The rows of ``keys`` (id, n, pos, key) that have a possible partner at their key as far as sizes and places tell, with ``short``.
+
+    A row beyond its short prefix meets short rows of smaller sets only, so it goes if even the smallest of them leaves no room for the bound.
+    """
+    p, q = bound.numerator, bound.denominator
+    by_key = Window.partitionBy("key")
+    marked = keys.withColumn("short", _short(bound)).withColumn("_least", F.min(F.when(F.col("short"), F.col("n"))).over(by_key))
+    room = (F.col("n") - F.col("pos")) * (p + q) >= (F.col("n") + F.col("_least")) * p
+    left = marked.filter(F.col("short") | ((F.col("_least") <= F.col("n")) & room))
+    return left.withColumn("_many", F.count("*").over(by_key)).filter("_many > 1").drop("_many", "_least")
+
+
+def _open(keys: DataFrame) -> DataFrame:
+    """The rows of ``keys`` whose key lies in several components ``c``, with ``share``: pairs of different ones per row of the key."""
+    by_key, by_part = Window.partitionBy("key"), Window.partitionBy("key", "c")
+    # A pair has a short end at least, so a key of n rows, s of them short, has s * n - s * s / 2 of them.
+    own = F.when(F.col("short"), F.count("*").over(by_part) - F.count_if("short").over(by_part) / 2)
+    keys = keys.withColumn("_own", own)
+    n, short = F.count("*").over(by_key), F.count_if("short").over(by_key).cast("double")
+    keys = keys.withColumns({"_low": F.min("c").over(by_key), "_high": F.max("c").over(by_key), "_n": n, "_s": short, "_in": F.sum("_own").over(by_key)})
+    several = keys.filter("_low < _high AND _s > 0").withColumn("share", F.expr("(_s * _n - _s * _s / 2 - _in) / _n"))
+    return several.drop("_low", "_high", "_n", "_s", "_in", "_own")
+
+
 def _close(pairs: DataFrame, sets: DataFrame, bound: Fraction) -> DataFrame:
     """The pairs (a, b) without those whose sketches show that their sets cannot reach the bound."""
     p, q = bound.numerator, bound.denominator
@@ -143,9 +177,11 @@ def later_copies(rows: DataFrame, shingle: int, similarity: float, max_bits: int
     """(id): all but the smallest id of each group of ``rows`` (id, text) linked by a Jaccard similarity of ``similarity`` or more.
 
     ``rows`` must be a stored table. Equal sets are collapsed first. With ``max_bits`` the groups of fingerprints
-    that link within so many bits come next: each row meets the first of its group, verified like any pair. While the pairs of rows that share a prefix
-    shingle are many, rows only meet leaders of their shingles; what these rounds link needs no
-    further comparison, so a large group costs rows and not pairs. All pairs of different components
+    that link within so many bits come next: each row meets the first of its group, verified like any pair. Rows that no
+    other row at their prefix shingle can reach, by sizes and places, are left out. A shingle with few pairs
+    has all of them listed and is settled. While the pairs at a shingle are many, its rows only meet leaders;
+    what these rounds link needs no further comparison, so a large group costs rows and not pairs, and a round
+    looks only at shingles that the one before left open. All pairs of different components
     that are left are then listed and verified, so no link is missed and none is taken unverified.
     """
     bound = Fraction(str(similarity))
@@ -155,38 +191,41 @@ def later_copies(rows: DataFrame, shingle: int, similarity: float, max_bits: int
     equal = written(sets.select("id", "same").join(firsts, "same").filter("id != first").select("id"), "equal-sets")
     single = sets.join(small(equal, "equal-ids"), "id", "left_anti")
     keys = single.select("id", "n", F.posexplode("prefix").alias("pos", "key"))
-    by_key = Window.partitionBy("key")
-    keys = written(keys.withColumn("_many", F.count("*").over(by_key)).filter("_many > 1").drop("_many"), "prefix-keys")
-    found, parts = None, None
+    open_ = written(_shared(keys, bound), "prefix-keys")
+    found, parts, limit, before = None, None, None, math.inf
     if max_bits is not None:
         groups = simhash_groups(rows.join(single.select("id"), "id", "left_semi"), shingle, max_bits, "id")
         near = groups.filter("id != component_id").select(F.col("component_id").alias("a"), F.col("id").alias("b"))
         found = _verified(near, sets, rows, shingle, bound)
         parts = written(connected(found), "parts")
     for turn in range(ROUNDS + 1):
-        live = keys.withColumn("c", F.col("id"))
+        # Components only grow, so a key that one of them holds alone stays settled and is not looked at again.
+        live = open_.withColumn("c", F.col("id"))
         if parts is not None:
-            live = keys.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id"))
-        live = live.select("key", "id", "n", "pos", "c")
-        live = live.withColumns({"_low": F.min("c").over(by_key), "_high": F.max("c").over(by_key)})
-        live = written(live.filter("_low < _high").drop("_low", "_high"), "open-keys")
-        each = live.groupBy("key", "c").count().groupBy("key").agg(F.sum("count").alias("n"), F.sum(F.expr("double(count) * count")).alias("own"))
-        n, cross = each.agg(F.sum("n"), F.sum(F.expr("(double(n) * n - own) / 2"))).first()
+            live = open_.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id"))
+        live = written(_open(live.select("key", "id", "n", "pos", "short", "c")), "open-keys")
+        discard(open_)
+        many = F.col("share") > LISTED
+        open_ = live.filter(many).drop("c", "share")
+        n, cross = live.agg(F.count("*"), F.sum("share")).first()
         if not n:
             break
-        last = turn == ROUNDS or cross <= LISTED * n
-        if last:
-            x, y = live.alias("x"), live.alias("y")
-            met = x.join(y, F.expr("x.key = y.key AND x.id < y.id AND x.c != y.c")).filter(_possible("x", "y", bound))
-            pairs = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        else:
+        # Few pairs are listed as they are, and so are those that leaders hardly lower any more.
+        limit = LISTED * n if limit is None else limit
+        last = turn == ROUNDS or cross <= limit or cross > STALLED * before
+        before = cross
+        listed = live if last else live.filter(~many)
+        x, y = listed.filter("short").alias("x"), listed.alias("y")
+        met = x.join(y, F.expr("x.key = y.key AND x.c != y.c AND (x.id < y.id OR NOT y.short)")).filter(_possible("x", "y", bound))
+        if not last:
             drawn = F.xxhash64("id", F.pmod("key", F.lit(LEADERS)), F.lit(turn))
-            led = live.select(F.struct("id", "n", "pos", "c").alias("x"), F.min(F.struct(drawn, "id", "n", "pos", "c")).over(by_key).alias("y"))
+            leader = F.min(F.when(F.col("short"), F.struct(drawn, "id", "n", "pos", "c"))).over(Window.partitionBy("key"))
+            led = live.filter(many).select(F.struct("id", "n", "pos", "c").alias("x"), leader.alias("y"))
             led = led.filter("x.c != y.c").filter(_possible("x", "y", bound))
-            pairs = led.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+        ends = F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")
+        pairs = met.select(*ends) if last else met.select(*ends).unionByName(led.select(*ends))
         links = _verified(pairs, sets, rows, shingle, bound)
         found = links if found is None else found.unionByName(links)
-        discard(live)
         parts = written(connected(found), "parts")
         if last:
             break
@@ -194,5 +233,5 @@ def later_copies(rows: DataFrame, shingle: int, similarity: float, max_bits: int
         equal = equal.unionByName(parts.filter("node != component").select(F.col("node").alias("id")))
     later = written(equal, "later")
     discard(sets)
-    discard(keys)
+    discard(open_)
     return later

@@ -77,3 +77,37 @@ def test_stage_groups_fingerprints_first(spark, monkeypatch):
     texts = [prose(k, 400) + (f" end{k}" if again else "") for k in range(6) for again in (0, 1)]
     kept = NEAR(spark, spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS), "").count()
     assert kept == plain_kept(texts) == 6 and len(found) == 1 and found[0] >= 4
+
+
+def test_later_rounds_leave_settled_shingles_alone(spark, monkeypatch):
+    """Pairs below the bound share prefix shingles and never link; once listed, only shingles with many pairs are looked at again."""
+    monkeypatch.setattr(near_copies, "LISTED", 1)
+    seen, store = [], near_copies.written
+
+    def watched(df, label):
+        out = store(df, label)
+        if label == "open-keys":
+            seen.append({(r.key, r.id) for r in out.collect()})
+        return out
+
+    monkeypatch.setattr(near_copies, "written", watched)
+    apart = [edited(1000 * k + again, 50 + k, 100, 3 * again) for k in range(30) for again in (0, 1)]
+    crowd = [edited(9000 + k, 7, 300, 5) for k in range(60)]
+    texts = [*apart, *crowd]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS)
+    assert NEAR(spark, docs, "").count() == plain_kept(texts)
+    assert len(seen) >= 2 and all(later <= earlier for earlier, later in zip(seen, seen[1:], strict=False))
+    of = {key: len([1 for k, _ in seen[0] if k == key]) for key, _ in seen[0]}
+    assert min(of[key] for key, _ in seen[1]) > 2 >= min(of.values())
+
+
+def test_pruned_rows_have_no_partner():
+    """Every pair that sizes and places leave room for keeps both rows, whatever the bound."""
+    p, q = 4, 5
+    for n, m in ((10, 10), (10, 12), (20, 17), (9, 11)):
+        for a in range(n):
+            for b in range(m):
+                possible = (1 + min(n - a - 1, m - b - 1)) * (p + q) >= p * (n + m)
+                short_a, short_b = a * (p + q) <= n * (q - p), b * (p + q) <= m * (q - p)
+                if possible:
+                    assert (short_a or m <= n) and (short_b or n <= m) and (short_a or short_b)
