@@ -32,6 +32,8 @@ TURNS = 4
 BLOCK = 10_000
 # Pairs compared in one numpy step.
 TILE = 1_000_000
+# Vectors that a task routes in one step.
+ROUTED = 2048
 
 
 def _direction(tree: int, path: str, turn: int, size: int) -> np.ndarray:
@@ -45,7 +47,7 @@ def _margin(threshold: float, size: int) -> float:
     return SPILL * np.sqrt(max(2 - 2 * threshold, 0.0) / size)
 
 
-def _units(column: pd.Series, size: int) -> np.ndarray:
+def _units(column: pd.Series | list[bytes], size: int) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype="<f8").reshape(-1, size)
 
 
@@ -82,6 +84,40 @@ def _fit(tree: int, path: str, size: int, total: int, sample: np.ndarray, margin
     return splits
 
 
+_SPLIT = np.dtype([("at", "<i4"), ("turn", "i1"), ("cut", "<f8")])
+
+
+def _pack_splits(path: str, splits: list[tuple[str, int, float]]) -> bytes:
+    """The splits below ``path`` in a few bytes each, as every row of the node carries them; a place is its bits behind a leading one."""
+    return np.array([(int("1" + at[len(path) :], 2), turn, cut) for at, turn, cut in splits], dtype=_SPLIT).tobytes()
+
+
+def _unpack_splits(path: str, packed: bytes) -> dict[str, tuple[int, float]]:
+    return {path + f"{at:b}"[1:]: (turn, cut) for at, turn, cut in np.frombuffer(packed, dtype=_SPLIT).tolist()}
+
+
+def _routed(rows: pa.RecordBatch, size: int, tree: int, path: str, threshold: float) -> pa.RecordBatch:
+    """The rows of one node in the nodes below it that its splits lead to."""
+    cuts = _unpack_splits(path, rows.column("splits")[0].as_py())
+    units, margin = _units(rows.column("unit").to_pylist(), size), _margin(threshold, size)
+    open_, taken, paths = [(path, np.arange(rows.num_rows))], [], []
+    while open_:
+        at, own = open_.pop()
+        if not len(own):
+            continue
+        if at in cuts:
+            turn, cut = cuts[at]
+            x = units[own] @ _direction(tree, at, turn, size)
+            open_ += [(at + "0", own[x <= cut + margin]), (at + "1", own[x >= cut - margin])]
+        else:
+            taken.append(own)
+            paths += [at] * len(own)
+    moved = rows.select(["node", "n", "size", "tree", "unit"]).take(pa.array(np.concatenate(taken)))
+    # A node that its own round could not split stays as it is.
+    columns = [*moved.columns, pa.array(paths, pa.string()), pa.array([at == path for at in paths], pa.bool_())]
+    return pa.RecordBatch.from_arrays(columns, names=[*moved.schema.names, "path", "done"])
+
+
 def _split_round(rows: DataFrame, threshold: float) -> tuple[DataFrame, bool]:
     """Route the vectors of every node with more than ``LEAF`` of them further down; False if there is none."""
     node = ["size", "tree", "path"]
@@ -96,34 +132,25 @@ def _split_round(rows: DataFrame, threshold: float) -> tuple[DataFrame, bool]:
     def fit(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         size, tree, path = int(key[0]), int(key[1]), str(key[2])
         splits = _fit(tree, path, size, int(frame["total"].iloc[0]), _units(frame["unit"], size), _margin(threshold, size))
-        return pd.DataFrame({"size": [size], "tree": [tree], "path": [path], "at": [[s[0] for s in splits]], "turn": [[s[1] for s in splits]], "cut": [[s[2] for s in splits]]})
+        return pd.DataFrame({"size": [size], "tree": [tree], "path": [path], "splits": [_pack_splits(path, splits)]})
 
-    model = sample.groupBy(*node).applyInPandas(fit, "size int, tree int, path string, at array<string>, turn array<int>, cut array<double>")
+    model = sample.groupBy(*node).applyInPandas(fit, "size int, tree int, path string, splits binary")
     model = written(model, "rp-splits")
 
-    def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for (size, tree, path), own in frame.groupby(["size", "tree", "path"], sort=False):
-                first = own.iloc[0]
-                cuts = {at: (turn, cut) for at, turn, cut in zip(first["at"], first["turn"], first["cut"], strict=True)}
-                units, margin = _units(own["unit"], size), _margin(threshold, size)
-                open_ = [(path, np.arange(len(own)))]
-                while open_:
-                    at, rows_ = open_.pop()
-                    if not len(rows_):
-                        continue
-                    if at in cuts:
-                        turn, cut = cuts[at]
-                        x = units[rows_] @ _direction(tree, at, turn, size)
-                        open_ += [(at + "0", rows_[x <= cut + margin]), (at + "1", rows_[x >= cut - margin])]
-                    else:
-                        out = own.iloc[rows_][["node", "n", "size", "tree", "unit"]]
-                        # A node that its own round could not split stays as it is.
-                        yield out.assign(path=at, done=at == path)
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROUTED):
+                part = batch.slice(at, ROUTED)
+                size, tree = (part.column(c).to_numpy() for c in ("size", "tree"))
+                paths = part.column("path").to_pylist()
+                edges = [i for i in range(1, len(paths)) if (size[i], tree[i], paths[i]) != (size[i - 1], tree[i - 1], paths[i - 1])]
+                for a, b in zip([0, *edges], [*edges, len(paths)], strict=True):
+                    yield _routed(part.slice(a, b - a), int(size[a]), int(tree[a]), paths[a], threshold)
 
     schema = "node long, n long, size int, tree int, unit binary, path string, done boolean"
     # Sorted, so that a batch holds few nodes.
-    moved = open_.join(model, node).drop("total").sortWithinPartitions(*node).mapInPandas(route, schema)
+    moved = open_.join(model, node).drop("total").sortWithinPartitions(*node)
+    moved = moved.select("node", "n", "size", "tree", "unit", "path", "splits").mapInArrow(route, schema)
     rest = rows.join(counts.select(*node), node, "left_anti").unionByName(rows.filter("done").join(counts.select(*node), node))
     return written(rest.unionByName(moved.select(*rest.columns)), "rp-rows"), True
 

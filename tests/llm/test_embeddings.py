@@ -45,3 +45,31 @@ def test_recall_on_clusters_and_a_dense_group(spark):
 
 def test_empty_table(spark):
     assert rp_forest.link_embeddings(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_routed_rows_carry_packed_splits():
+    import pyarrow as pa
+
+    r = np.random.default_rng(3)
+    units = r.standard_normal((3000, 16))
+    units /= np.linalg.norm(units, axis=1)[:, None]
+    splits = rp_forest._fit(1, "01", 16, 3000, units, rp_forest._margin(0.95, 16))
+    packed = rp_forest._pack_splits("01", splits)
+    assert len(splits) > 5 and len(packed) == 13 * len(splits) and rp_forest._pack_splits("", []) == b""
+    assert rp_forest._unpack_splits("01", packed) == {at: (turn, cut) for at, turn, cut in splits}
+    n = len(units)
+    columns = [pa.array(range(n), pa.int64()), pa.array([1] * n, pa.int64()), pa.array([16] * n, pa.int32()), pa.array([1] * n, pa.int32())]
+    columns += [pa.array([u.astype("<f8").tobytes() for u in units], pa.binary()), pa.array(["01"] * n), pa.array([packed] * n, pa.binary())]
+    rows = pa.RecordBatch.from_arrays(columns, names=["node", "n", "size", "tree", "unit", "path", "splits"])
+    moved = rp_forest._routed(rows, 16, 1, "01", 0.95)
+    got = {}
+    for node, path in zip(moved.column("node").to_pylist(), moved.column("path").to_pylist(), strict=True):
+        got.setdefault(path, set()).add(node)
+    want, cuts = {"01": set(range(n))}, {at: (turn, cut) for at, turn, cut in splits}
+    while any(at in cuts for at in want):
+        at = next(at for at in want if at in cuts)
+        own, (turn, cut) = np.array(sorted(want.pop(at))), cuts[at]
+        x = units[own] @ rp_forest._direction(1, at, turn, 16)
+        want |= {at + "0": set(own[x <= cut + rp_forest._margin(0.95, 16)]), at + "1": set(own[x >= cut - rp_forest._margin(0.95, 16)])}
+    assert got == want and not any(moved.column("done").to_pylist())
+    assert rp_forest._routed(rows.set_column(6, "splits", pa.array([b""] * n, pa.binary())), 16, 1, "01", 0.95).column("done").to_pylist() == [True] * n
