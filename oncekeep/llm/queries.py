@@ -59,7 +59,7 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = substring_arrays.remove_repeated_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = substring_arrays.remove_repeated_bytes(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 

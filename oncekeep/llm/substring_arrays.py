@@ -187,14 +187,15 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     Earlier means a smaller doc_id, or an earlier place in the document; rows with one id are
     taken in the order of the table, so of repeated rows one keeps its text, and null ids come
     first. The first copy of a string stays; windows are judged on the input and may overlap.
-    ``kept`` is binary, as a cut may fall into a character. ``docs`` is numbered and written once.
+    ``kept`` is binary, as a cut may fall into a character. Rows of a plain scan are numbered by
+    their place (files in order of their paths); other ``docs`` are numbered and written once.
     A null or empty text has no bytes. Other columns of ``docs`` are left out. An empty table
     gives an empty result.
 
     Each shard holds the passages of whole anchors (see ``winnow``): every pair of equal windows
     meets in one shard, and their array tells which of them start earlier.
     """
-    rows = rows_of(numbered(docs.select("doc_id", "text"), "row"), "row")
+    rows = rows_of(numbered(docs, "row", ["doc_id", "text"]), "row")
     runs = repeated_bytes(rows, window)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -62,3 +62,13 @@ def test_stages_keep_no_copy_of_their_input(spark, stored, name):
     STAGES[name](spark, stored, "").count()
     assert not [t for t in tables(spark) - before if t.startswith("numbered-")]
     assert spark.conf.get(FREE_SHUFFLES) == "true"
+
+
+def test_repeated_bytes_of_a_table_need_no_numbered_copy(spark, stored, tmp_path):
+    from oncekeep.llm.queries import QUERIES
+
+    stored.write.parquet(str(tmp_path / "sf" / "documents.parquet"))
+    before = tables(spark)
+    got = QUERIES["op10_suffix_array_dedup"](spark, str(tmp_path / "sf"))
+    assert got.count() == stored.count() and got.filter("n_removed > 0").count() > 0
+    assert not [t for t in tables(spark) - before if t.startswith("numbered-")]
