@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..operators.skew import small
+from ..session import discard
 from .common import written
 from .components import connected
 
@@ -48,7 +50,19 @@ def _margin(threshold: float, size: int) -> float:
 
 
 def _units(column: pd.Series | list[bytes], size: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column), dtype="<f8").reshape(-1, size)
+    """Unit vectors: stored as doubles, or as the floats of the table, which are scaled here."""
+    packed = b"".join(column)
+    kind = len(packed) // (len(column) * size)
+    x = np.frombuffer(packed, dtype=f"<f{kind}").reshape(-1, size)
+    return _scaled(x) if kind == 4 else x
+
+
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """The rows of ``x`` as unit vectors of doubles; a row that has none holds non-finite numbers."""
+    x = x.astype(np.float64)
+    with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+        x = x / np.abs(x).max(axis=1, keepdims=True)
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _cut(x: np.ndarray, margin: float) -> float:
@@ -112,19 +126,24 @@ def _routed(rows: pa.RecordBatch, size: int, tree: int, path: str, threshold: fl
         else:
             taken.append(own)
             paths += [at] * len(own)
-    moved = rows.select(["node", "n", "size", "tree", "unit"]).take(pa.array(np.concatenate(taken)))
+    moved = rows.select(["node", "size", "tree"]).take(pa.array(np.concatenate(taken)))
     # A node that its own round could not split stays as it is.
     columns = [*moved.columns, pa.array(paths, pa.string()), pa.array([at == path for at in paths], pa.bool_())]
     return pa.RecordBatch.from_arrays(columns, names=[*moved.schema.names, "path", "done"])
 
 
-def _split_round(rows: DataFrame, threshold: float) -> tuple[DataFrame, bool]:
-    """Route the vectors of every node with more than ``LEAF`` of them further down; False if there is none."""
+def _split_round(rows: DataFrame, units: DataFrame, threshold: float) -> tuple[DataFrame, bool]:
+    """Route the vectors of every node with more than ``LEAF`` of them further down; False if there is none.
+
+    ``rows`` (stored) has a place of a vector in a tree per row and no vectors; these are joined where they are needed.
+    """
     node = ["size", "tree", "path"]
     counts = written(rows.filter("NOT done").groupBy(*node).agg(F.count("*").alias("total")).filter(F.col("total") > LEAF), "rp-nodes")
     if counts.isEmpty():
+        discard(counts)
         return rows, False
     open_ = rows.filter("NOT done").join(counts, node)
+    vectors = units.select("node", "unit")
     # Only ranks up to SAMPLE are kept, so Spark cuts each task's share of a node before the shuffle.
     by_hash = Window.partitionBy(*node).orderBy(F.xxhash64("node", "tree"), "node")
     sample = open_.withColumn("_n", F.row_number().over(by_hash)).filter(F.col("_n") <= SAMPLE)
@@ -134,7 +153,7 @@ def _split_round(rows: DataFrame, threshold: float) -> tuple[DataFrame, bool]:
         splits = _fit(tree, path, size, int(frame["total"].iloc[0]), _units(frame["unit"], size), _margin(threshold, size))
         return pd.DataFrame({"size": [size], "tree": [tree], "path": [path], "splits": [_pack_splits(path, splits)]})
 
-    model = sample.groupBy(*node).applyInPandas(fit, "size int, tree int, path string, splits binary")
+    model = sample.join(vectors, "node").groupBy(*node).applyInPandas(fit, "size int, tree int, path string, splits binary")
     model = written(model, "rp-splits")
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,12 +166,15 @@ def _split_round(rows: DataFrame, threshold: float) -> tuple[DataFrame, bool]:
                 for a, b in zip([0, *edges], [*edges, len(paths)], strict=True):
                     yield _routed(part.slice(a, b - a), int(size[a]), int(tree[a]), paths[a], threshold)
 
-    schema = "node long, n long, size int, tree int, unit binary, path string, done boolean"
+    schema = "node long, size int, tree int, path string, done boolean"
     # Sorted, so that a batch holds few nodes.
-    moved = open_.join(model, node).drop("total").sortWithinPartitions(*node)
-    moved = moved.select("node", "n", "size", "tree", "unit", "path", "splits").mapInArrow(route, schema)
+    moved = open_.join(model, node).drop("total").join(vectors, "node").sortWithinPartitions(*node)
+    moved = moved.select("node", "size", "tree", "unit", "path", "splits").mapInArrow(route, schema)
     rest = rows.join(counts.select(*node), node, "left_anti").unionByName(rows.filter("done").join(counts.select(*node), node))
-    return written(rest.unionByName(moved.select(*rest.columns)), "rp-rows"), True
+    after = written(rest.unionByName(moved.select(*rest.columns)), "rp-rows")
+    for done in (rows, counts, model):
+        discard(done)
+    return after, True
 
 
 def _compare_leaf(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
@@ -204,18 +226,21 @@ def _leaves(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield held
 
 
-def _unit_column(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        units, sizes = [], []
-        for value in batch.column(2):
-            x = np.array([np.nan if v is None else v for v in value.as_py() or []], dtype=np.float64)
-            with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
-                scaled = x / np.abs(x).max() if len(x) else x
-                unit = scaled / np.linalg.norm(scaled) if len(x) else x
-            good = len(x) and np.isfinite(x).all() and np.isfinite(unit).all()
-            units.append(unit.astype("<f8").tobytes() if good else None), sizes.append(len(x))
-        columns = [batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(units, pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "size", "unit"])
+def _unit_column(kind: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Vectors that can link, packed: floats of the table as they are (``kind`` <f4), else unit vectors of doubles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            units, sizes = [], []
+            for value in batch.column(2):
+                x = np.array([np.nan if v is None else v for v in value.as_py() or []], dtype=np.float64)
+                unit = _scaled(x[None, :])[0] if len(x) else x
+                good = len(x) and np.isfinite(x).all() and np.isfinite(unit).all()
+                units.append((x if kind == "<f4" else unit).astype(kind).tobytes() if good else None), sizes.append(len(x))
+            columns = [batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(units, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "size", "unit"])
+
+    return run
 
 
 def link_embeddings(vectors: DataFrame, threshold: float = 0.95, key: str = "vec_id", vector: str = "embedding", trees: int = TREES) -> DataFrame:
@@ -237,14 +262,15 @@ def link_embeddings(vectors: DataFrame, threshold: float = 0.95, key: str = "vec
     rows = vectors.select(F.col(key), F.col(vector).alias("_v"))
     groups = rows.filter("_v IS NOT NULL").groupBy("_v").agg(F.min(key).alias("first"), F.count("*").alias("n"))
     groups = written(groups.withColumn("node", F.monotonically_increasing_id()), "rp-vectors")
-    units = groups.select("node", "n", "_v").mapInArrow(_unit_column, "node long, n long, size int, unit binary")
+    kind = "<f4" if isinstance(rows.schema["_v"].dataType.elementType, T.FloatType) else "<f8"
+    units = groups.select("node", "n", "_v").mapInArrow(_unit_column(kind), "node long, n long, size int, unit binary")
     units = written(units.filter("unit IS NOT NULL"), "rp-units")
 
-    spread = units.withColumn("tree", F.explode(F.array(*[F.lit(t) for t in range(trees)])))
-    placed, more = spread.withColumns({"path": F.lit(""), "done": F.lit(False)}), True
+    spread = units.select("node", "size", F.explode(F.array(*[F.lit(t) for t in range(trees)])).alias("tree"))
+    places, more = written(spread.withColumns({"path": F.lit(""), "done": F.lit(False)}), "rp-rows"), True
     while more:
-        placed, more = _split_round(placed, threshold)
-    placed = placed.withColumn("leaf", F.xxhash64("size", "tree", "path"))
+        places, more = _split_round(places, units, threshold)
+    placed = places.select("node", F.xxhash64("size", "tree", "path").alias("leaf"))
     known = placed.groupBy("node").agg(F.sort_array(F.collect_set("leaf")).alias("leaves"))
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -254,7 +280,7 @@ def link_embeddings(vectors: DataFrame, threshold: float = 0.95, key: str = "vec
 
     large = placed.groupBy("leaf").count().filter(F.col("count") > BLOCK)
     large = small(large.select("leaf", F.ceil(F.col("count") / BLOCK).cast("int").alias("_n")), "rp-large")
-    spread = placed.join(known, "node").join(large, "leaf", "left").withColumn("own", F.expr("pmod(xxhash64(node, 3), coalesce(_n, 1))"))
+    spread = placed.join(known, "node").join(units, "node").join(large, "leaf", "left").withColumn("own", F.expr("pmod(xxhash64(node, 3), coalesce(_n, 1))"))
     spread = spread.withColumn("_other", F.explode(F.expr("sequence(0, coalesce(_n, 1) - 1)")))
     share = ["leaf", "x", "y"]
     spread = spread.withColumns({"x": F.least("own", "_other"), "y": F.greatest("own", "_other")})
@@ -269,6 +295,8 @@ def link_embeddings(vectors: DataFrame, threshold: float = 0.95, key: str = "vec
     of = of.join(linked, "node", "left").join(parts, "node", "left")
     of = of.select("_v", "first", "n", "good", F.coalesce("component", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
     of = written(of.filter("good"), "rp-groups")
+    for done in (groups, units, places, found):
+        discard(done)
     least = of.groupBy("root").agg(F.min("first").alias("_least"))
     of = of.join(least, "root").select("_v", (F.col("links") + F.col("n") - 1).alias("_links"), "_least")
     out = rows.join(of, "_v", "left")

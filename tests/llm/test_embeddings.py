@@ -73,3 +73,38 @@ def test_routed_rows_carry_packed_splits():
         want |= {at + "0": set(own[x <= cut + rp_forest._margin(0.95, 16)]), at + "1": set(own[x >= cut - rp_forest._margin(0.95, 16)])}
     assert got == want and not any(moved.column("done").to_pylist())
     assert rp_forest._routed(rows.set_column(6, "splits", pa.array([b""] * n, pa.binary())), 16, 1, "01", 0.95).column("done").to_pylist() == [True] * n
+
+
+def test_places_are_stored_without_vectors(spark, monkeypatch):
+    """Tables of the split rounds hold a few bytes per place, and none of them stays behind."""
+    r = np.random.default_rng(9)
+    made, gone, store, drop = [], set(), rp_forest.written, rp_forest.discard
+
+    def watched(df, label):
+        out = store(df, label)
+        made.append((label, out))
+        return out
+
+    def dropped(df):
+        gone.add(id(df))
+        drop(df)
+
+    monkeypatch.setattr(rp_forest, "written", watched)
+    monkeypatch.setattr(rp_forest, "discard", dropped)
+    rows = [(i, v) for i, v in enumerate(r.standard_normal((1500, 16)))]
+    check(spark, rows)
+    places = [df for label, df in made if label == "rp-rows"]
+    assert len(places) >= 2 and all(sorted(df.columns) == ["done", "node", "path", "size", "tree"] for df in places)
+    assert {id(df) for label, df in made if label != "rp-groups"} <= gone
+
+
+def test_floats_and_doubles_link_alike(spark):
+    r = np.random.default_rng(11)
+    base = r.standard_normal((40, 24)).astype(np.float32)
+    vectors = np.concatenate([base, base + 0.2 * r.standard_normal((40, 24)).astype(np.float32), 1e-30 * base[:5], 1e30 * base[:5]])
+    rows = [(i, [float(x) for x in v.astype(np.float32)]) for i, v in enumerate(vectors)]
+    got = [
+        {x.vec_id: tuple(x) for x in rp_forest.link_embeddings(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")).collect()}
+        for kind in ("float", "double")
+    ]
+    assert got[0] == got[1] and sum(x[1] for x in got[0].values()) >= 30
