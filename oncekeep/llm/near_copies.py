@@ -4,9 +4,10 @@ Every pair at or above the bound becomes a candidate: in one order of all shingl
 common shingle among the first of both sets (the prefix filter). Fingerprints are not used, as a
 pair at the bound often lies as far apart in bits as unrelated texts do in a large table.
 
-Before whole sets are fetched, candidates meet by their parity sketches: a bit tells whether an odd number
-of shingles fall on it, so two sketches differ in at most as many bits as the sets do in shingles. Pairs whose
-sketches differ in more than the bound allows cannot link; no other pair is left out.
+Keys that hold the same rows are one key, so a pair that shares many rare shingles meets once. Where rows meet,
+their parity sketches are compared: a bit tells whether an odd number of shingles fall on it, so two sketches differ in
+at most as many bits as the sets do in shingles. Pairs whose sketches differ in more than the bound allows cannot
+link and are not listed; no other pair is left out. Whole sets are fetched for the rest only.
 """
 
 from __future__ import annotations
@@ -128,13 +129,18 @@ def _shared(keys: DataFrame, bound: Fraction) -> DataFrame:
     """The rows of ``keys`` (id, n, pos, key) that have a possible partner at their key as far as sizes and places tell, with ``short``.
 
     A row beyond its short prefix meets short rows of smaller sets only, so it goes if even the smallest of them leaves no room for the bound.
+    Of keys that then hold the same rows only the first in the order of all shingles stays: a pair's first common shingle is the first of all keys that hold both.
     """
     p, q = bound.numerator, bound.denominator
     by_key = Window.partitionBy("key")
     marked = keys.withColumn("short", _short(bound)).withColumn("_least", F.min(F.when(F.col("short"), F.col("n"))).over(by_key))
     room = (F.col("n") - F.col("pos")) * (p + q) >= (F.col("n") + F.col("_least")) * p
     left = marked.filter(F.col("short") | ((F.col("_least") <= F.col("n")) & room))
-    return left.withColumn("_many", F.count("*").over(by_key)).filter("_many > 1").drop("_many", "_least")
+    left = left.withColumn("_many", F.count("*").over(by_key))
+    digests = [F.bit_xor(F.xxhash64("id", F.lit(seed))).over(by_key) for seed in (0, 1)]
+    alike = left.withColumns({"_one": digests[0], "_two": digests[1]}).filter("_many > 1")
+    first = alike.groupBy("id", "_many", "_one", "_two").agg(F.min(F.struct("pos", "key", "n", "short")).alias("_first"))
+    return first.select("id", "_first.n", "_first.pos", "_first.key", "_first.short")
 
 
 def _open(keys: DataFrame) -> DataFrame:
@@ -149,19 +155,22 @@ def _open(keys: DataFrame) -> DataFrame:
     return several.drop("_low", "_high", "_n", "_s", "_in", "_own")
 
 
+def _near(a: str, b: str, bound: Fraction) -> Column:
+    """Whether sizes ``n`` and sketches ``sketch`` leave room for the bound."""
+    p, q = bound.numerator, bound.denominator
+    apart = " + ".join(f"bit_count({a}.sketch[{i}] ^ {b}.sketch[{i}])" for i in range(SKETCH_LONGS))
+    return F.expr(f"({apart}) * {p + q} <= ({a}.n + {b}.n) * {q - p}")
+
+
 def _close(pairs: DataFrame, sets: DataFrame, bound: Fraction) -> DataFrame:
     """The pairs (a, b) without those whose sketches show that their sets cannot reach the bound."""
-    p, q = bound.numerator, bound.denominator
-    x, y = (sets.select(F.col("id").alias(end), F.col("n").alias(f"n{end}"), F.col("sketch").alias(f"s{end}")) for end in ("a", "b"))
-    apart = F.aggregate(F.zip_with("sa", "sb", lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda total, bits: total + bits)
-    return pairs.join(x, "a").join(y, "b").filter(apart * (p + q) <= (F.col("na") + F.col("nb")) * (q - p)).select("a", "b")
+    x, y = (sets.select(F.col("id").alias(end), F.struct("n", "sketch").alias(f"s{end}")) for end in ("a", "b"))
+    return pairs.join(x, "a").join(y, "b").filter(_near("sa", "sb", bound)).select("a", "b")
 
 
-def _verified(pairs: DataFrame, sketched: DataFrame, rows: DataFrame, shingle: int, bound: Fraction) -> DataFrame:
-    """The pairs (a, b) whose sets reach the bound; ``sketched`` has the size and the sketch of every set."""
-    candidates = written(pairs.distinct(), "candidates")
-    pairs = written(_close(candidates, sketched, bound), "close-candidates")
-    discard(candidates)
+def _verified(pairs: DataFrame, rows: DataFrame, shingle: int, bound: Fraction) -> DataFrame:
+    """The pairs (a, b) whose sets reach the bound."""
+    pairs = written(pairs.distinct(), "close-candidates")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     sets = written(_sets(rows.join(small(ids, "candidate-ids"), "id", "left_semi"), shingle), "shingles")
     x, y = (sets.select(F.col("id").alias(end), F.col("hashes").alias(f"h{end}")) for end in ("a", "b"))
@@ -196,7 +205,7 @@ def later_copies(rows: DataFrame, shingle: int, similarity: float, max_bits: int
     if max_bits is not None:
         groups = simhash_groups(rows.join(single.select("id"), "id", "left_semi"), shingle, max_bits, "id")
         near = groups.filter("id != component_id").select(F.col("component_id").alias("a"), F.col("id").alias("b"))
-        found = _verified(near, sets, rows, shingle, bound)
+        found = _verified(_close(near, sets, bound), rows, shingle, bound)
         parts = written(connected(found), "parts")
     for turn in range(ROUNDS + 1):
         # Components only grow, so a key that one of them holds alone stays settled and is not looked at again.
@@ -214,17 +223,18 @@ def later_copies(rows: DataFrame, shingle: int, similarity: float, max_bits: int
         limit = LISTED * n if limit is None else limit
         last = turn == ROUNDS or cross <= limit or cross > STALLED * before
         before = cross
-        listed = live if last else live.filter(~many)
+        # Sketches judge a pair where it meets, so only pairs that they leave room for become rows.
+        listed = (live if last else live.filter(~many)).join(sets.select("id", "sketch"), "id")
         x, y = listed.filter("short").alias("x"), listed.alias("y")
-        met = x.join(y, F.expr("x.key = y.key AND x.c != y.c AND (x.id < y.id OR NOT y.short)")).filter(_possible("x", "y", bound))
+        met = x.join(y, F.expr("x.key = y.key AND x.c != y.c AND (x.id < y.id OR NOT y.short)") & _possible("x", "y", bound) & _near("x", "y", bound))
         if not last:
             drawn = F.xxhash64("id", F.pmod("key", F.lit(LEADERS)), F.lit(turn))
             leader = F.min(F.when(F.col("short"), F.struct(drawn, "id", "n", "pos", "c"))).over(Window.partitionBy("key"))
             led = live.filter(many).select(F.struct("id", "n", "pos", "c").alias("x"), leader.alias("y"))
             led = led.filter("x.c != y.c").filter(_possible("x", "y", bound))
         ends = F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")
-        pairs = met.select(*ends) if last else met.select(*ends).unionByName(led.select(*ends))
-        links = _verified(pairs, sets, rows, shingle, bound)
+        pairs = met.select(*ends) if last else met.select(*ends).unionByName(_close(led.select(*ends).distinct(), sets, bound))
+        links = _verified(pairs, rows, shingle, bound)
         found = links if found is None else found.unionByName(links)
         parts = written(connected(found), "parts")
         if last:

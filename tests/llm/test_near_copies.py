@@ -111,3 +111,43 @@ def test_pruned_rows_have_no_partner():
                 short_a, short_b = a * (p + q) <= n * (q - p), b * (p + q) <= m * (q - p)
                 if possible:
                     assert (short_a or m <= n) and (short_b or n <= m) and (short_a or short_b)
+
+
+def test_keys_with_the_same_rows_are_one(spark, monkeypatch):
+    """Near copies share many prefix shingles; they meet once for each set of rows that share some."""
+    seen, store = [], near_copies.written
+
+    def watched(df, label):
+        out = store(df, label)
+        if label == "prefix-keys":
+            keys = {}
+            for row in out.collect():
+                keys.setdefault(row.key, set()).add(row.id)
+            seen.extend(frozenset(ids) for ids in keys.values())
+        return out
+
+    monkeypatch.setattr(near_copies, "written", watched)
+    texts = [edited(100 * k + again, 20 + k, 200, 4 * again) for k in range(20) for again in range(2 + k % 3)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS)
+    assert NEAR(spark, docs, "").count() == plain_kept(texts)
+    assert len(seen) >= 20 and len(seen) == len(set(seen))
+
+
+@pytest.mark.parametrize("listed", [near_copies.LISTED, 0])
+def test_pairs_are_listed_only_where_sketches_allow(spark, monkeypatch, listed):
+    """Texts that share their first shingles and little else meet at one key; none of their pairs becomes a row."""
+    monkeypatch.setattr(near_copies, "LISTED", listed)
+    seen, close = [], near_copies._verified
+
+    def watched(pairs, *rest):
+        pairs = pairs.distinct()
+        seen.append(pairs.count())
+        return close(pairs, *rest)
+
+    monkeypatch.setattr(near_copies, "_verified", watched)
+    # Sorting puts shared shingles last, so all texts of a family agree on no rare shingle but a few drawn ones.
+    texts = [" ".join([prose(3, 200), prose(500 + k, 120)]) for k in range(40)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS)
+    monkeypatch.setattr(near_copies, "_frequent", lambda *_: (np.array([], dtype=np.uint64), np.array([], dtype=np.int64)))
+    assert NEAR(spark, docs, "").count() == plain_kept(texts) == 40
+    assert sum(seen) < 40
