@@ -147,7 +147,7 @@ def _linked(exact: bool) -> str:
     return f"""{REC},
 facet AS MATERIALIZED ({sketches}{exacts if exact else ''}),
 cand AS MATERIALIZED (SELECT DISTINCT f.offer_id, f.pos, g.pos AS prior FROM facet f JOIN facet g
-  ON f.offer_id = g.offer_id AND f.space = g.space AND f.v = g.v AND g.pos < f.pos AND (f.space < 4 OR f.pos - g.pos <= 10000)),
+  ON f.offer_id = g.offer_id AND f.space = g.space AND f.v = g.v AND g.pos < f.pos{' AND (f.space < 4 OR f.pos - g.pos <= 10000)' if exact else ''}),
 feat AS MATERIALIZED (SELECT cand.*, y.record_id AS prior_id, x.ip_tag,
   {on('coalesce(x.phone_hash = y.phone_hash, FALSE)')} AS phone, {on('coalesce(x.email_hash = y.email_hash, FALSE)')} AS email,
   {on(f'({address})')} AS addr, {on('coalesce(x.ip_hash = y.ip_hash, FALSE)')} AS ip,
