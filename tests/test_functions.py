@@ -212,3 +212,30 @@ def test_envelopes(spark):
     wrapped = spark.createDataFrame([("k",)], "v string").select(crypto.encrypt(F.lit("11" * 16), F.expr(key)).alias("w"))
     moved = wrapped.select(crypto.rewrap(F.col("w"), F.expr(key), F.expr(other)).alias("w"))
     assert moved.select(crypto.decrypt(F.col("w"), F.expr(other))).first()[0] == "11" * 16
+
+
+def test_sketches_of_batches_equal_a_plain_count():
+    """Windows that repeat, words under three bytes, text beyond ASCII, empty lists and nulls, each row with its own state."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from oncekeep.functions import hashing
+
+    rng = random.Random(9)
+    words = [[("".join(rng.choice("abc1") for _ in range(rng.randrange(8)))) for _ in range(rng.randrange(4))] for _ in range(200)] + [None, [], ["héhéhé", "abcabc"]]
+    states = [rng.randrange(1 << 32) for _ in words]
+
+    def plain(row, state):
+        windows = {w.encode()[i : i + 3].decode("utf-8", "replace").encode() for w in row for i in range(len(w.encode()) - 2)}
+        out = []
+        for w in windows:
+            h = state
+            for byte in w:
+                h = ((h ^ byte) * hashing.FNV_PRIME) & 0xFFFFFFFF
+            out.append(h)
+        return (sorted(out) + [4294967295] * 4)[:4]
+
+    got = hashing._bottom4.func(pa.array(words, pa.list_(pa.string())), pa.array(states, pa.int64())).to_pylist()
+    assert got == [None if w is None else plain(w, s) for w, s in zip(words, states, strict=True)]
