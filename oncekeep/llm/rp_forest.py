@@ -132,6 +132,12 @@ def _routed(rows: pa.RecordBatch, size: int, tree: int, path: str, threshold: fl
     return pa.RecordBatch.from_arrays(columns, names=[*moved.schema.names, "path", "done"])
 
 
+def _shuffled(table: DataFrame) -> DataFrame:
+    """For joins on what grows with the vectors: stored places and lists of leaves pack so well that by the size
+    of their files Spark would send them through the driver."""
+    return table.hint("merge")
+
+
 def _split_round(rows: DataFrame, units: DataFrame, threshold: float) -> tuple[DataFrame, bool]:
     """Route the vectors of every node with more than ``LEAF`` of them further down; False if there is none.
 
@@ -153,7 +159,7 @@ def _split_round(rows: DataFrame, units: DataFrame, threshold: float) -> tuple[D
         splits = _fit(tree, path, size, int(frame["total"].iloc[0]), _units(frame["unit"], size), _margin(threshold, size))
         return pd.DataFrame({"size": [size], "tree": [tree], "path": [path], "splits": [_pack_splits(path, splits)]})
 
-    model = sample.join(vectors, "node").groupBy(*node).applyInPandas(fit, "size int, tree int, path string, splits binary")
+    model = sample.join(_shuffled(vectors), "node").groupBy(*node).applyInPandas(fit, "size int, tree int, path string, splits binary")
     model = written(model, "rp-splits")
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +174,7 @@ def _split_round(rows: DataFrame, units: DataFrame, threshold: float) -> tuple[D
 
     schema = "node long, size int, tree int, path string, done boolean"
     # Sorted, so that a batch holds few nodes.
-    moved = open_.join(model, node).drop("total").join(vectors, "node").sortWithinPartitions(*node)
+    moved = open_.join(model, node).drop("total").join(_shuffled(vectors), "node").sortWithinPartitions(*node)
     moved = moved.select("node", "size", "tree", "unit", "path", "splits").mapInArrow(route, schema)
     rest = rows.join(counts.select(*node), node, "left_anti").unionByName(rows.filter("done").join(counts.select(*node), node))
     after = written(rest.unionByName(moved.select(*rest.columns)), "rp-rows")
@@ -280,7 +286,7 @@ def link_embeddings(vectors: DataFrame, threshold: float = 0.95, key: str = "vec
 
     large = placed.groupBy("leaf").count().filter(F.col("count") > BLOCK)
     large = small(large.select("leaf", F.ceil(F.col("count") / BLOCK).cast("int").alias("_n")), "rp-large")
-    spread = placed.join(known, "node").join(units, "node").join(large, "leaf", "left").withColumn("own", F.expr("pmod(xxhash64(node, 3), coalesce(_n, 1))"))
+    spread = placed.join(_shuffled(known), "node").join(_shuffled(units), "node").join(large, "leaf", "left").withColumn("own", F.expr("pmod(xxhash64(node, 3), coalesce(_n, 1))"))
     spread = spread.withColumn("_other", F.explode(F.expr("sequence(0, coalesce(_n, 1) - 1)")))
     share = ["leaf", "x", "y"]
     spread = spread.withColumns({"x": F.least("own", "_other"), "y": F.greatest("own", "_other")})
@@ -291,15 +297,15 @@ def link_embeddings(vectors: DataFrame, threshold: float = 0.95, key: str = "vec
     parts = connected(found.filter("node != root"), "node", "root")
     linked = found.groupBy("node").agg(F.sum("links").alias("links"))
 
-    of = groups.select("node", "_v", "first", "n").join(units.select("node", F.lit(True).alias("good")), "node", "left")
-    of = of.join(linked, "node", "left").join(parts, "node", "left")
+    of = groups.select("node", "_v", "first", "n").join(_shuffled(units.select("node", F.lit(True).alias("good"))), "node", "left")
+    of = of.join(_shuffled(linked), "node", "left").join(_shuffled(parts), "node", "left")
     of = of.select("_v", "first", "n", "good", F.coalesce("component", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
     of = written(of.filter("good"), "rp-groups")
     for done in (groups, units, places, found):
         discard(done)
     least = of.groupBy("root").agg(F.min("first").alias("_least"))
-    of = of.join(least, "root").select("_v", (F.col("links") + F.col("n") - 1).alias("_links"), "_least")
-    out = rows.join(of, "_v", "left")
+    of = of.join(_shuffled(least), "root").select("_v", (F.col("links") + F.col("n") - 1).alias("_links"), "_least")
+    out = rows.join(_shuffled(of), "_v", "left")
     component = F.when(F.col("_links").isNull(), F.col(key)).otherwise(F.col("_least"))
     return out.select(
         key, F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col(key).eqNullSafe(component).alias("kept")

@@ -108,3 +108,22 @@ def test_floats_and_doubles_link_alike(spark):
         for kind in ("float", "double")
     ]
     assert got[0] == got[1] and sum(x[1] for x in got[0].values()) >= 30
+
+
+def test_nothing_that_grows_with_the_vectors_is_broadcast(spark, monkeypatch):
+    """Joins on a vector, a component or the vector itself are planned as shuffles however small the files look."""
+    keep, plans = rp_forest.written, []
+
+    def planned(df):
+        return [line for line in df._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in line]
+
+    def spied(df, label):
+        plans.extend(planned(df))
+        return keep(df, label)
+
+    monkeypatch.setattr(rp_forest, "written", spied)
+    rows = [(i, [float(i % 7 + 1), float(i % 5), 1.0]) for i in range(40)]
+    out = rp_forest.link_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 0.95)
+    plans.extend(planned(out))
+    ours = [line for line in plans if any(f"Join [{key}#" in line for key in ("node", "root", "_v"))]
+    assert len(ours) >= 6 and not [line for line in ours if "BroadcastHashJoin" in line]
